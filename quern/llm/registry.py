@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup
+from quern.llm import exact_dedup, mixing, shards
 
 
 def queries() -> dict:
     return {
+        "op2_shard_compaction": shards.op2_shard_compaction,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op7_pfair_mixing": mixing.op7_pfair_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_shard_compaction": shards.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op7_pfair_mixing": mixing.ORACLE,
+    }
