@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, mixing, shards
+from quern.llm import bpe, exact_dedup, language_id, mixing, shards
 
 
 def queries() -> dict:
     return {
         "op2_shard_compaction": shards.op2_shard_compaction,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op7_pfair_mixing": mixing.op7_pfair_mixing,
+        "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
 
 
