@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, language_id, mixing, shards
+from quern.llm import bpe, exact_dedup, language_id, mixing, repair_shards, shards, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_shard_compaction": shards.op2_shard_compaction,
+        "op3_repair_shards": repair_shards.op3_repair_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op7_pfair_mixing": mixing.op7_pfair_mixing,
