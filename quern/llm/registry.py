@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, language_id, mixing, repair_shards, shards, token_counts
+from quern.llm import bpe, exact_dedup, language_id, licenses, mixing, repair_shards, shards, token_counts, vp_search
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_repair_shards": repair_shards.op3_repair_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
+        "op6_vp_tree_search": vp_search.op6_vp_tree_search,
         "op7_pfair_mixing": mixing.op7_pfair_mixing,
+        "op8_license_scan": licenses.op8_license_scan,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
 
