@@ -1,8 +1,56 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, source mixing, BPE.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns a row per document of the mixture with its token count and digests.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import bpe, exact_dedup, language_id, mixing, near_dup, staging
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier rejects go."""
+    return language_id.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the smallest doc_id stays."""
+    return near_dup.keep_representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture with tempered source weights has room for stay."""
+    return mixing.keep_mixed(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.digests(docs, bpe.default_path())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_tokens),
+]
+
+ORACLE_SQL = None  # SQL cannot express the classifier, the registers and BPE
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = staging.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = staging.staged(docs, f"stage-{i + 1}")
+    return docs

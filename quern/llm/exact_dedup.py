@@ -68,8 +68,7 @@ def exact_groups(docs: DataFrame, **heavy) -> DataFrame:
 
 def keep_first(docs: DataFrame, **heavy) -> DataFrame:
     """The documents that stay, with all their columns. Only the ids of dropped rows meet the texts again."""
-    dropped = exact_groups(docs, **heavy).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__dropped")), "left_anti")
+    return staging.without(docs, exact_groups(docs, **heavy).where(~F.col("kept")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

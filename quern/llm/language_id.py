@@ -232,8 +232,7 @@ def held_out():
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with all their columns; a model of ``docs``' own labels decides."""
     model = train(docs.where(~held_out()))
-    gone = predicted(docs, model).where(~F.col("accepted")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    return staging.without(docs, predicted(docs, model).where(~F.col("accepted")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,8 +115,7 @@ def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int
 
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture, with all their columns."""
-    chosen = mixed(docs, **how).where("selected").select(F.col("doc_id").alias("__chosen"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__chosen")), "left_semi")
+    return staging.without(docs, mixed(docs, **how).where(~F.col("selected")))
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, language_id, licenses, mixing, repair_shards, shards, token_counts, vp_search
+from quern.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dup, repair_shards, shards, token_counts, vp_search
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_vp_tree_search": vp_search.op6_vp_tree_search,
         "op7_pfair_mixing": mixing.op7_pfair_mixing,
         "op8_license_scan": licenses.op8_license_scan,
+        "op9_setsketch_near_dup": near_dup.op9_setsketch_near_dup,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
     }
 

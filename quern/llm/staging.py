@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``gone`` (doc_id; null is an id like any other).
+
+    The ids are staged and counted: up to BROADCAST_IDS of them (16 MB) are broadcast, so the texts stay where they are;
+    more are joined by a shuffle.
+    """
+    ids = staged(gone.select(F.col("doc_id").alias("__gone")), "gone")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of ``path``, and ``path`` as a Hadoop Path."""
     jvm = spark.sparkContext._jvm
