@@ -16,9 +16,9 @@ File format: Parquet, a row for each block.
   symbols                uint16 little-endian: the compressed block
 The lengths let a reader find the symbols that cover any range of ids and expand only those.
 
-The tokenizers library gives all ids. A text is cut before its spaces, where its word pattern always cuts too, unless
+The tokenizers library's BPE model gives all ids. A text is cut before its spaces, where its word pattern always cuts too, unless
 white space follows a space, the text ends in one or it holds a special token or a zero character: those texts are encoded whole. A worker
-keeps the ids of the pieces that it has seen, within a bound.
+keeps the ids of the words and pieces that it has seen, within a bound.
 
 Defined results: null and empty texts are the end id alone; documents with the same or a null doc_id stand next to each
 other, nulls first, in the order of their texts' hashes; columns besides doc_id and text are not read.
@@ -29,17 +29,22 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import staging
-from quern.llm.words import Memo, per_worker, text_slices
+from quern.llm.bpe import byte_letters
+from quern.llm.words import per_worker, text_slices
 
 BLOCK_TOKENS, END_ID, SYMBOLS, BINS = 1 << 20, 0, 1 << 16, 20
-UNEVEN = re.compile(r" \s| $|<\||\0")
+#: Fixed value: the word pattern of byte-level vocabularies of this family.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNEVEN = re.compile(r" \s")
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -50,7 +55,7 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class Encoder:
-    """Ids by the tokenizers library, with a memo of pieces."""
+    """Ids by the tokenizers library's BPE model, as bytes of uint16, with memos of words and of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,60 +64,52 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.between = self.tokenizer.token_to_id("<|endoftext|>")
-        self.memo = Memo(1_200_000)
-        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        """Encode new pieces in one text, with the special token, which nothing reaches across, between them."""
-        new, self.memo.new = self.memo.new, []
-        ids = np.array(self.tokenizer.encode("<|endoftext|>".join([p[1:] if p[0] == "\0" else " " + p for p in new]), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ids == self.between)
-        start = np.concatenate([[0], cuts + 1])
-        length = np.concatenate([cuts, [len(ids)]]) - start
-        ids = ids[ids != self.between].astype(np.uint16)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + start - np.arange(len(start))])
-        self.length = np.concatenate([self.length, length])
-        self.used += len(ids)
+        self.words = _Words(self.tokenizer.model)
+        self.pieces = _Pieces(self.words)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each followed by END_ID, and how many each text has with it."""
-        if len(self.memo) > self.memo.most:
-            self.memo.clear()
-            self.used, self.start, self.length = 0, self.start[:0], self.length[:0]
-        pieces, rows, whole = [], [], {}
-        for i, text in enumerate(texts):
-            if text and UNEVEN.search(text):
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-            elif text:
-                words = text.split(" ")
-                words[0] = "\0" + words[0]  # a first word has no space before it
-                pieces += words
-                rows.append(len(words))
-            if i in whole or not text:
-                rows.append(0)
-        number = self.memo.numbers(pieces)
-        if self.memo.new:
-            self._learn()
-        ids, length = ragged(self.flat, self.start[number], self.length[number]), np.concatenate([[0], np.cumsum(self.length[number])])
-        bounds = length[np.concatenate([[0], np.cumsum(rows)])]
-        ends = bounds[1:]
-        counts = np.diff(bounds) + 1
-        for i, w in whole.items():
-            counts[i] += len(w)
-        out = np.full(int(counts.sum()), END_ID, np.uint16)
-        last = np.cumsum(counts)
-        own = np.ones(len(out), bool)
-        own[last - 1] = False
-        for i, w in whole.items():
-            out[last[i] - 1 - len(w) : last[i] - 1] = w
-            own[last[i] - 1 - len(w) : last[i] - 1] = False
-        out[own] = ids[: ends[-1]] if len(ends) else ids
-        return out, counts
+        end, get, out = array("H", [END_ID]).tobytes(), self.pieces.__getitem__, []
+        for memo, most in ((self.words, 1_000_000), (self.pieces, 800_000)):
+            if len(memo) > most:
+                memo.clear()
+        for text in texts:
+            if not text:
+                out.append(end)
+            elif text[-1] == " " or "<|" in text or "\0" in text or UNEVEN.search(text):
+                out.append(array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + end)
+            else:
+                pieces = text.split(" ")
+                pieces[0] = "\0" + pieces[0]  # a first word has no space before it
+                out.append(b"".join(map(get, pieces)) + end)
+        return np.frombuffer(b"".join(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out)) // 2
+
+
+class _Words(dict):
+    """Words of the word pattern."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        self[word] = ids = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """What stands between two spaces, after a space or, marked by a zero character, at a text's start."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        self.word, self.split = words.__getitem__, regex.compile(WORD).findall
+
+    def __missing__(self, piece: str) -> bytes:
+        words = self.split(piece[1:] if piece[0:1] == "\0" else " " + piece)
+        self[piece] = ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        return ids
 
 
 def compress(ids: np.ndarray, first_symbol: int, rounds: int = 4, rules_a_round: int = 4096, least_use: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +172,15 @@ def rule_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids that ``symbols`` stand for."""
-    start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
-    flat = np.zeros(int(lengths.sum()), np.uint16)
-    for i, (a, b) in enumerate(rules.tolist()):  # a rule's parts come before it
-        at, out = int(start[i]), []
-        for s in (a, b):
-            out.append(flat[start[s - first_symbol] : start[s - first_symbol] + lengths[s - first_symbol]] if s >= first_symbol else np.array([s], np.uint16))
-        flat[at : at + int(lengths[i])] = np.concatenate(out)
+    flat = rules.reshape(-1).astype(np.uint16)  # all rules' expansions one after the other
+    while len(flat) and (nested := flat >= first_symbol).any():
+        pairs = np.zeros((len(flat), 2), np.uint16)
+        pairs[:, 0] = flat
+        pairs[nested] = rules[flat[nested] - np.uint16(first_symbol)]
+        keep = np.ones((len(flat), 2), bool)
+        keep[~nested, 1] = False
+        flat = pairs[keep]
+    start = np.cumsum(lengths) - lengths
     base = np.arange(first_symbol, dtype=np.uint16)
     both = np.concatenate([base, flat])
     starts = np.concatenate([np.arange(first_symbol), first_symbol + start])
