@@ -143,13 +143,16 @@ class Index:
                 bands.append([d, d])
         best = []
         for a, b in bands:
-            first, last = max(low, a - BAND), min(high, b + len(template) + BAND)
-            part = code[first:last]
-            both = np.minimum(np.bincount(template, minlength=len(self.code) + 1), np.bincount(part, minlength=len(self.code) + 1))
-            if both[1:].sum() >= least * len(template):  # else no alignment can have enough matches
-                m, x, y = align(template, part, a - BAND - first, b + BAND - first)
-                if m >= least * len(template):
-                    best.append((m, first + x, first + y))
+            open_ = [(max(low, a - BAND), min(high, b + len(template) + BAND))]
+            while open_:
+                first, last = open_.pop()
+                part = code[first:last]
+                both = np.minimum(np.bincount(template, minlength=len(self.code) + 1), np.bincount(part, minlength=len(self.code) + 1))
+                if both[1:].sum() >= least * len(template):  # else no alignment can have enough matches
+                    m, x, y = align(template, part, a - BAND - first, b + BAND - first)
+                    if m >= least * len(template):
+                        best.append((m, first + x, first + y))
+                        open_ += [(first, first + x), (first + y + 1, last)]  # the template again, before and after
         best.sort(key=lambda r: (-r[0], r[1]))
         kept: list[tuple[int, int, int]] = []
         for r in best:  # of matches that overlap, the best one

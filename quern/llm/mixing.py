@@ -71,7 +71,8 @@ def ranked_in_source(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("order"),
     )
     largest = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    digits = max(0, math.ceil(math.log(max(1, largest / range_rows), 16)))
+    per_range = max(range_rows, math.sqrt(largest))  # so neither a range nor the list of ranges is more than one task's work
+    digits = max(0, math.ceil(math.log(max(1, largest / per_range), 16)))
     rows = rows.withColumn("range", F.substring("order", 1, digits))
     before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("key", "range").count().select("key", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

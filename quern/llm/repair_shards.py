@@ -142,7 +142,10 @@ def compress(ids: np.ndarray, first_symbol: int, rounds: int = 4, rules_a_round:
         r = np.full(len(pair) + 2, none, np.int32)
         r[at + 1] = rank[own]
         mine = r[at + 1]
-        chosen = (mine < r[at]) & (mine <= r[at + 2])
+        chosen = (mine <= r[at]) & (mine <= r[at + 2])
+        at, own = at[chosen], own[chosen]
+        first = np.concatenate([[True], np.diff(at) != 1])  # a run is of one symbol: every other of its pairs
+        chosen = (at - at[first][np.cumsum(first) - 1]) % 2 == 0
         at, own = at[chosen], own[chosen]
         uses = np.bincount(own, minlength=len(often))
         useful = np.flatnonzero(uses >= least_use)
