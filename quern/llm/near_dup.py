@@ -8,7 +8,8 @@
 3. Bands. ``BANDS`` bands of ``ROWS`` registers each; classes that agree in a whole band share a bucket. At a
    similarity of 0.85 two classes share none with probability 3e-7.
 4. Stars. In every bucket the class with the most company over all bands is the pivot: the text that others were made
-   from, where there is one. Pairs of a pivot and a member are estimated from their registers and known set sizes by
+   from, where there is one. Every class first meets one of its pivots, that with the most company, and then those
+   pivots that are not connected with it by now. Pairs are estimated from their registers and known set sizes by
    maximum likelihood; those within reach of the threshold are verified on full sets.
 5. The rest. Members that are connected by now need no more links. Every bucket's members outside the pivot's component
    meet all members of other components, in blocks of bounded size that emit only pairs which the likelihood
@@ -16,7 +17,8 @@
    bucket is left out, and pairs within a large group are not listed.
 6. Components of all verified links.
 
-Verification sends each pair's texts, not its sets, to groups of one pivot and ``CHUNK`` partners.
+Verification sends each pair's texts, not its sets, to groups of one pivot and ``CHUNK`` partners. Only the texts of
+classes that share a bucket are read again.
 
 Defined results: null and empty texts have no set, link with nothing and are kept; a null doc_id links with nothing and
 is kept; rows that repeat a doc_id are one document; columns besides doc_id and text are not read.
@@ -199,16 +201,15 @@ def _verify(table, percent: int):
     return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough, as (u, v)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough, as (u, v). ``texts``: id, text."""
+    kind = texts.schema["id"].dataType.simpleString()
     partners = pairs.groupBy("a").count()
     dealt = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / CHUNK)).alias("chunk"))
     attend = dealt.select(F.col("b").alias("id"), "a", "chunk", F.lit(1).alias("role")).unionByName(
         dealt.select(F.col("a").alias("id"), "a", "chunk", F.lit(0).alias("role")).distinct()
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(attend, "id")
-    return texts.groupBy("a", "chunk").applyInArrow(lambda rows: _verify(rows, percent), f"u {kind}, v {kind}")
+    return texts.join(attend, "id").groupBy("a", "chunk").applyInArrow(lambda rows: _verify(rows, percent), f"u {kind}, v {kind}")
 
 
 def _block(table, percent: int):
@@ -238,13 +239,17 @@ def _block(table, percent: int):
     return pa.table({"a": pa.array(np.minimum(*pairs), kind), "b": pa.array(np.maximum(*pairs), kind)})
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, pivots: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def _placed(members: DataFrame, pivots: DataFrame, component: DataFrame) -> DataFrame:
+    """Members with their bucket's pivot, their component, and whether that is another one than the pivot's."""
+    named = members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_pivot = pivots.join(component.select(F.col("rep").alias("pivot"), F.col("component").alias("of_pivot")), "pivot", "left")
+    of_pivot = of_pivot.select("band", "key", "pivot", F.coalesce("of_pivot", "pivot").alias("of_pivot"))
+    return named.join(of_pivot, ["band", "key"]).withColumn("outside", F.col("component") != F.col("of_pivot"))
+
+
+def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be similar enough."""
     kind = classes.schema["rep"].dataType.simpleString()
-    named = members.where("size > 2").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = staging.staged(named, "named")
-    of_pivot = pivots.join(named.select("band", "key", F.col("rep").alias("pivot"), F.col("component").alias("of_pivot")), ["band", "key", "pivot"]).drop("pivot")
-    placed = named.join(of_pivot, ["band", "key"]).withColumn("outside", F.col("component") != F.col("of_pivot"))
     blocks = placed.where("outside").groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("outs"))
     placed = placed.join(blocks, ["band", "key"]).join(classes.select("rep", "n", "registers"), "rep")
     placed = placed.withColumn("ins", F.ceil(F.col("size") / BLOCK)).select("band", "key", "rep", "component", "outside", "n", "registers", "outs", "ins")
@@ -258,28 +263,38 @@ def _open_pairs(members: DataFrame, classes: DataFrame, pivots: DataFrame, compo
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified links (u, v) between class names: enough of them to connect whatever is connected."""
+    kind = classes.schema["rep"].dataType.simpleString()
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(registers, i * {ROWS} + 1, {ROWS}))")
     banded = classes.select("rep", F.posexplode(key).alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staging.staged(banded.join(buckets, ["band", "key"]), "members")
+    texts = staging.staged(staging.only(docs.select("doc_id", "text"), members.select("rep").distinct()).withColumnRenamed("doc_id", "id"), "texts")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
-    order = F.struct("company", (-F.col("rep")).alias("rep"))
-    pivots = members.join(company, "rep").groupBy("band", "key").agg(F.max_by("rep", order).alias("pivot"))
-    pivots = staging.staged(pivots, "pivots")
-    stars = members.join(pivots, ["band", "key"]).where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    first = F.max(F.struct("company", (-F.col("rep")).alias("rep")))
+    pivots = members.join(company, "rep").groupBy("band", "key").agg(first.alias("first"))
+    pivots = staging.staged(pivots.select("band", "key", (-F.col("first.rep")).alias("pivot"), "first.company"), "pivots")
     known = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("registers").alias("r" + x))
-    kind = classes.schema["rep"].dataType.simpleString()
-    near = stars.join(known("b"), "b").join(known("a"), "a").mapInArrow(lambda batches: _within_reach(batches, percent), f"a {kind}, b {kind}")
-    near = staging.staged(near, "stars")
-    found = staging.staged(verified(docs, near, percent), "star-links")
-    component = staging.staged(graph.components(found).select(F.col("node").alias("rep"), "component"), "star-components")
-    rest = _open_pairs(members, classes, pivots, component, percent)
-    seen = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staging.staged(rest.distinct().join(seen, ["a", "b"], "left_anti"), "open")
+
+    def tried(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs that the registers leave open, and the links among them."""
+        near = pairs.join(known("b"), "b").join(known("a"), "a").mapInArrow(lambda batches: _within_reach(batches, percent), f"a {kind}, b {kind}")
+        near = staging.staged(near, name)
+        return near, staging.staged(verified(texts, near, percent), f"{name}-links")
+
+    def connected(found: DataFrame) -> DataFrame:
+        return staging.staged(graph.components(found).select(F.col("node").alias("rep"), "component"), "connected")
+
+    one = members.join(pivots, ["band", "key"]).where("rep <> pivot").groupBy("rep").agg(F.max(F.struct("company", (-F.col("pivot")).alias("pivot"))).alias("best"))
+    seen, found = tried(one.select((-F.col("best.pivot")).alias("a"), F.col("rep").alias("b")), "stars")
+    away = _placed(members, pivots, connected(found)).where("outside").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    near, more = tried(away.join(seen, ["a", "b"], "left_anti"), "other-stars")
+    seen, found = seen.unionByName(near), found.unionByName(more)
+    placed = staging.staged(_placed(members.where("size > 2"), pivots, connected(found)), "placed")
+    seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staging.staged(_open_pairs(placed, classes, percent).distinct().join(seen, ["a", "b"], "left_anti"), "open")
     if rest.isEmpty():
         return found
-    more = staging.staged(verified(docs, rest, percent), "more-links")
-    return found.unionByName(more)
+    return found.unionByName(staging.staged(verified(texts, rest, percent), "open-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

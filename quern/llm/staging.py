@@ -49,6 +49,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (one column), broadcast or shuffled as in ``without``."""
+    ids = staged(ids.toDF("__id"), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose doc_id is in ``gone`` (doc_id; null is an id like any other).
 
