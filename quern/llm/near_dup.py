@@ -12,9 +12,10 @@
    pivots that are not connected with it by now. Pairs are estimated from their registers and known set sizes by
    maximum likelihood; those within reach of the threshold are verified on full sets.
 5. The rest. Members that are connected by now need no more links. Every bucket's members outside the pivot's component
-   meet all members of other components, in blocks of bounded size that emit only pairs which the likelihood
-   estimate leaves open, each pair in the first band that it shares. Those pairs are verified too. So no pair of a
-   bucket is left out, and pairs within a large group are not listed.
+   meet all members of other components, in blocks of bounded size, each pair in the first band that it shares. First
+   on registers alone: who has no pair that the likelihood estimate leaves open leaves the block. The texts of those
+   who stay then join the blocks, which verify their open pairs and return links that connect what is not connected
+   yet. So no pair of a bucket is left out, and what leaves a block is never more than its members.
 6. Components of all verified links.
 
 Verification sends each pair's texts, not its sets, to groups of one pivot and ``CHUNK`` partners. Only the texts of
@@ -38,7 +39,7 @@ from quern.llm.words import text_slices
 
 WORDS, BANDS, ROWS, BASE, OFFSET = 5, 32, 6, 1.1, 24
 REGISTERS = BANDS * ROWS
-CHUNK, BLOCK = 64, 1024
+CHUNK, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 21
 SLACK = 4.5  # standard deviations by which an estimate may fall short of the threshold
 
 U = np.uint64
@@ -212,31 +213,67 @@ def verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return texts.join(attend, "id").groupBy("a", "chunk").applyInArrow(lambda rows: _verify(rows, percent), f"u {kind}, v {kind}")
 
 
-def _block(table, percent: int):
-    """Pairs of one block that are open: members outside the pivot's component with members of other components."""
-    role = np.asarray(table.column("role"))
-    members, outside = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    registers, n = _rows(table.column("registers").combine_chunks()), np.asarray(table.column("n"))
-    ids, comp = np.asarray(table.column("rep")), np.asarray(table.column("component"))
-    away = np.asarray(table.column("outside"))
-    band, a, b = table.column("band")[0].as_py(), [], []
-    for i in outside:
-        other = members[comp[members] != comp[i]]
+class _Block:
+    """One block: its members (role 0) and those outside the pivot's component (role 1), who meet them."""
+
+    def __init__(self, table, percent: int):
+        role = np.asarray(table.column("role"))
+        self.members, self.outside = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        self.registers, self.n = _rows(table.column("registers").combine_chunks()), np.asarray(table.column("n"))
+        self.ids, self.component = np.asarray(table.column("rep")), np.asarray(table.column("component"))
+        self.away, self.band, self.percent = np.asarray(table.column("outside")), table.column("band")[0].as_py(), percent
+
+    def open_with(self, i: int, component: np.ndarray) -> np.ndarray:
+        """Members of other components than i's whose pairs with i belong to this band and are open."""
+        n, m, other = self.n, self.n[i], self.members[component[self.members] != component[i]]
         # a pair of two outsiders comes up twice: keep it where the smaller one is the outsider
-        is_out = away[other]
-        other = other[~is_out | (ids[other] > ids[i])]
-        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
+        other = other[~self.away[other] | (self.ids[other] > self.ids[i])]
+        other = other[100 * np.minimum(n[other], m) >= self.percent * np.maximum(n[other], m)]
+        if not len(other):
+            return other
+        same = (self.registers[other] == self.registers[i]).reshape(len(other), BANDS, ROWS).all(2)
+        other = other[same.argmax(1) == self.band]  # the first band that a pair shares
+        one = np.broadcast_to(self.registers[i], (len(other), REGISTERS))
+        return other[_open(self.registers[other], one, n[other], np.broadcast_to(m, len(other)), self.percent)] if len(other) else other
+
+
+def _still_open(table, percent: int):
+    """The rows of a block that have an open pair."""
+    block, stays = _Block(table, percent), np.zeros(table.num_rows, bool)
+    for i in block.outside:
+        other = block.open_with(i, block.component)
+        stays[other] = True
+        stays[i] |= len(other) > 0
+    return table.filter(pa.array(stays))
+
+
+def _block_links(table, percent: int):
+    """Verified links of a block with texts: enough to connect whatever its open pairs connect."""
+    block = _Block(table, percent)
+    sets = shingle_sets(table.column("text").to_pylist())
+    size, values = np.array([len(s) for s in sets]), np.concatenate(sets)
+    values = np.unique(values, return_inverse=True)[1]  # a small number for each shingle
+    start = np.cumsum(size) - size
+    component, marked = block.component.copy(), np.zeros(int(values.max(initial=0)) + 1, np.int64)
+    u, v = [], []
+    for i in block.outside:
+        other = block.open_with(i, component)
         if not len(other):
             continue
-        same = (registers[other] == registers[i]).reshape(len(other), BANDS, ROWS).all(2)
-        other = other[same.argmax(1) == band]  # the first band that a pair shares
-        if len(other):
-            other = other[_open(registers[other], np.broadcast_to(registers[i], (len(other), REGISTERS)), n[other], np.broadcast_to(n[i], len(other)), percent)]
-            a.append(np.full(len(other), ids[i]))
-            b.append(ids[other])
+        own = values[start[i] : start[i] + size[i]]
+        marked[own] = 1
+        for part in np.array_split(other, -(-int(size[other].sum()) // (1 << 22)) or 1):
+            flat = np.concatenate([values[start[j] : start[j] + size[j]] for j in part]) if len(part) else own[:0]
+            both = np.add.reduceat(marked[flat], np.cumsum(size[part]) - size[part]) if len(part) else part
+            linked = part[100 * both >= percent * (size[part] + size[i] - both)]
+            for j in linked:
+                if component[j] != component[i]:
+                    u.append(block.ids[i])
+                    v.append(block.ids[j])
+                    component[component == component[j]] = component[i]
+        marked[own] = 0
     kind = table.schema.field("rep").type
-    pairs = [np.concatenate(x) if x else np.empty(0, ids.dtype) for x in (a, b)]
-    return pa.table({"a": pa.array(np.minimum(*pairs), kind), "b": pa.array(np.maximum(*pairs), kind)})
+    return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
 
 
 def _placed(members: DataFrame, pivots: DataFrame, component: DataFrame) -> DataFrame:
@@ -247,18 +284,25 @@ def _placed(members: DataFrame, pivots: DataFrame, component: DataFrame) -> Data
     return named.join(of_pivot, ["band", "key"]).withColumn("outside", F.col("component") != F.col("of_pivot"))
 
 
-def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be similar enough."""
+def _rest(placed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components that share a bucket."""
     kind = classes.schema["rep"].dataType.simpleString()
-    blocks = placed.where("outside").groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("outs"))
-    placed = placed.join(blocks, ["band", "key"]).join(classes.select("rep", "n", "registers"), "rep")
-    placed = placed.withColumn("ins", F.ceil(F.col("size") / BLOCK)).select("band", "key", "rep", "component", "outside", "n", "registers", "outs", "ins")
+    placed = placed.join(placed.where("outside").select("band", "key").distinct(), ["band", "key"])  # the others are connected
+    placed = placed.join(classes.select("rep", "n", "registers"), "rep").select("band", "key", "rep", "component", "outside", "n", "registers")
+    blocks = lambda rows, words: F.ceil(F.greatest(rows / BLOCK, words / BLOCK_SHINGLES))
+    out = lambda c: F.sum(F.when(F.col("outside"), c))
+    counts = placed.groupBy("band", "key").agg(blocks(out(F.lit(1)), out(F.col("n"))).alias("outs"), blocks(F.count(F.lit(1)), F.sum("n")).alias("ins"))
+    placed = placed.join(counts, ["band", "key"])
     share = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = placed.select("*", F.lit(0).alias("role"), share("ins").alias("x"), every("outs").alias("y")).unionByName(
         placed.where("outside").select("*", F.lit(1).alias("role"), share("outs").alias("y"), every("ins").alias("x"))
     )
-    return rows.drop("ins", "outs").groupBy("band", "key", "x", "y").applyInArrow(lambda t: _block(t, percent), f"a {kind}, b {kind}")
+    rows = rows.drop("ins", "outs")
+    open_ = rows.groupBy("band", "key", "x", "y").applyInArrow(lambda t: _still_open(t, percent), rows.schema)
+    open_ = staging.staged(open_, "open")
+    with_texts = texts.withColumnRenamed("id", "rep").join(open_, "rep")
+    return with_texts.groupBy("band", "key", "x", "y").applyInArrow(lambda t: _block_links(t, percent), f"u {kind}, v {kind}")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -287,14 +331,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     one = members.join(pivots, ["band", "key"]).where("rep <> pivot").groupBy("rep").agg(F.max(F.struct("company", (-F.col("pivot")).alias("pivot"))).alias("best"))
     seen, found = tried(one.select((-F.col("best.pivot")).alias("a"), F.col("rep").alias("b")), "stars")
     away = _placed(members, pivots, connected(found)).where("outside").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    near, more = tried(away.join(seen, ["a", "b"], "left_anti"), "other-stars")
-    seen, found = seen.unionByName(near), found.unionByName(more)
+    _, more = tried(away.join(seen, ["a", "b"], "left_anti"), "other-stars")
+    found = found.unionByName(more)
     placed = staging.staged(_placed(members.where("size > 2"), pivots, connected(found)), "placed")
-    seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staging.staged(_open_pairs(placed, classes, percent).distinct().join(seen, ["a", "b"], "left_anti"), "open")
-    if rest.isEmpty():
-        return found
-    return found.unionByName(staging.staged(verified(texts, rest, percent), "open-links"))
+    return found.unionByName(staging.staged(_rest(placed, classes, texts, percent), "rest-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

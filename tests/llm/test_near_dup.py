@@ -92,3 +92,20 @@ def test_components(spark, seed):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {n: r for n, r in root.items() if n in got} and all(r == n for n, r in root.items() if n not in got)
+
+
+def test_group_without_a_text_that_is_near_all(spark, monkeypatch):
+    """Copies of a text that is not there, edited so much that half of the pairs are links: blocks find the rest."""
+    draw = np.random.default_rng(9)
+    rows = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(150)]
+        for k in draw.choice(150, draw.integers(1, 5), replace=False):
+            words[k] = f"e{i}-{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(docs.collect())
+    for block in (512, 7):  # several blocks a bucket too
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        got = near_dup.near_duplicates(docs).collect()
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == want
