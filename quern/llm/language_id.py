@@ -7,8 +7,8 @@ stochastic gradient descent in numpy, on whole texts and, so that short texts wo
 
 The sample is bounded: about ``per_language`` labelled rows of each language, drawn by a hash of doc_id, each as the
 counts of its buckets. A fourth of it is held back to calibrate: a temperature that makes scores probabilities, and
-the rejection threshold, the lowest score above which the held-back error stays within ``target_error``, and never
-less than one half, below which another answer is as likely.
+the rejection threshold, the lowest score above which the held-back error is at most ``target_error`` more than that of
+the surest half, whose errors are the labels' own, and never less than one half, below which another answer is as likely.
 
 At prediction the embeddings and the weights are multiplied into one small table of ``BUCKETS`` rows, and a worker
 keeps the sum of each word it has seen, so a text costs one lookup a word.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import staging
-from quern.llm.words import Memo, text_slices
+from quern.llm.words import Memo, per_worker, text_slices
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 16, 16, 2, 4
 NOT_LETTER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
@@ -135,11 +135,11 @@ def calibrated(scores: np.ndarray, label: np.ndarray, target_error: float) -> tu
     top, right = p.max(1), p.argmax(1) == label
     order = np.argsort(-top, kind="stable")
     error = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-    within = np.flatnonzero(error <= target_error)
+    within = np.flatnonzero(error <= error[(len(order) - 1) // 2] + target_error)
     return float(temperature), max(0.5, float(top[order][within[-1]]) if len(within) else 1.0)
 
 
-def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.01) -> Model:
+def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.02) -> Model:
     """Fit on a bounded sample of ``docs``' labelled rows: about ``per_language`` rows of each language."""
     spark = docs.sparkSession
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
@@ -168,7 +168,7 @@ def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.01)
 class _Words:
     """Subword sums of the words that a worker has met."""
 
-    def __init__(self, languages: int):
+    def __init__(self, languages: int, model_key: str):
         self.memo, self.sums = Memo(), np.zeros((1024, languages + 1))
 
     def of(self, model: Model, texts: list[str | None]) -> np.ndarray:
@@ -190,7 +190,7 @@ class _Words:
 
 def _predict(batches, shared, key: str):
     model: Model = shared.value
-    words = _worker_words(len(model.languages), key)
+    words = per_worker(_Words, len(model.languages), key)
     for batch in text_slices(batches, 1 << 20):
         texts = batch.column("text").to_pylist()
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -204,17 +204,6 @@ def _predict(batches, shared, key: str):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
-_KEPT: dict[str, _Words] = {}
-
-
-def _worker_words(languages: int, key: str) -> _Words:
-    """One table a worker and model; that of an older model goes."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Words(languages)
-    return _KEPT[key]
-
-
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, accepted. Only doc_id and text are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float a language

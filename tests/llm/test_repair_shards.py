@@ -55,3 +55,17 @@ def test_odd_rows(spark, odd, none):
     to = staging.new_path(spark, "t")
     r.write(none, r.default_path(), to)
     assert r.read(spark, to).count() == 0
+
+
+TEXTS = ["a b\nc", "One, two. Größe! größe? a; é.é b.. c.d, .", "!", "a  b", " a", "a ", "a\n\n\nb", "x\ty", "He's  it's\u00a0 we'll\n12 3456 (ok)!? \n", "<|endoftext|> a", "a\0b", "Straße日本語 👩‍👩‍👧\nİ", "é" * 300 + "\nz", "\n", "a \nb", "a\n b", "!\n!", "\x1c a"]
+
+
+def test_encoder_is_the_library():
+    e = r.Encoder(r.default_path())
+    for _ in range(2):
+        ids, counts = e.encode([*TEXTS, None, ""])
+        start = 0
+        for t, n in zip([*TEXTS, "", ""], counts):
+            assert ids[start : start + n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [0], t
+            start += n
+        assert start == len(ids)
