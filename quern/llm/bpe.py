@@ -20,6 +20,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import pyarrow as pa
 import regex
@@ -71,7 +72,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -88,8 +89,8 @@ class Bpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.most = most
-        self.of_word: dict[str, list[int]] = {}
-        self.of_piece: dict[str, tuple[int, str, str]] = {}
+        self.of_word: dict[str, bytes] = {}  # ids as uint32
+        self.of_piece: dict[str, str] = {}  # decimal ids, a line end, decoded text
 
     def merged(self, ids: list[int]) -> list[int]:
         """Apply merges, always the leftmost of the lowest rank, until no adjacent pair has one."""
@@ -137,7 +138,7 @@ class Bpe:
                 ranks[at - 1] = p[0]
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> list[int] | array:
         """The ids of one normalised word."""
         found = self.of_word.get(word)
         if found is None:
@@ -147,8 +148,9 @@ class Bpe:
             found = self.merged(ids)
             if len(self.of_word) >= self.most:
                 self.of_word.clear()
-            self.of_word[word] = found
-        return found
+            self.of_word[word] = array("I", found).tobytes()
+            return found
+        return array("I", found)
 
     def piece(self, piece: str) -> list[int]:
         """The ids of a piece of text without spaces and line ends."""
@@ -182,13 +184,14 @@ class Bpe:
             r = known.get(p)
             if r is None:
                 ids = self.piece(p)
-                r = len(ids), " ".join(map(str, ids)), self.decode(ids)
+                r = f"{' '.join(map(str, ids))}\n{self.decode(ids)}" if ids else ""
                 if len(known) >= self.most:
                     known.clear()
                 known[p] = r
-            if r[0]:
-                found.append(r)
-        return sum([r[0] for r in found]), " ".join([r[1] for r in found]), " ".join([r[2] for r in found])
+            if r:
+                found.append(r.split("\n", 1))
+        decimal = " ".join([r[0] for r in found])
+        return decimal.count(" ") + bool(found), decimal, " ".join([r[1] for r in found])
 
 
 def default_path() -> str:

@@ -84,18 +84,25 @@ def _part_hashes(parts: list[list[bytes]]) -> list[np.ndarray]:
     return np.split(h, ends[:-1])
 
 
-def shingle_sets(texts: list[str | None], most_words: int = 50_000) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text. Long texts are hashed in overlapping parts."""
-    parts, of = [], []
+def shingle_sets(texts: list[str | None], most_words: int = 50_000, most_bytes: int = 1 << 20) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Long texts are hashed in overlapping parts, and parts by about a MB."""
+    sets: list[list[np.ndarray]] = [[] for _ in texts]
+    parts, of, held = [], [], 0
+
+    def hashed():
+        for i, h in zip(of, _part_hashes(parts) if parts else ()):
+            sets[i].append(h)
+
     for i, t in enumerate(texts):
         words = t.encode().lower().split() if t else []  # of bytes: A-Z only, ASCII white space only
         for a in range(0, max(1, len(words) - WORDS + 1), most_words) if words else ():
             parts.append(words[a : a + most_words + WORDS - 1])
             of.append(i)
-    sets: list[list[np.ndarray]] = [[] for _ in texts]
-    if parts:
-        for i, h in zip(of, _part_hashes(parts)):
-            sets[i].append(h)
+        held += len(t or "")
+        if held > most_bytes:
+            hashed()
+            parts, of, held = [], [], 0
+    hashed()
     return [np.unique(np.concatenate(s) if len(s) > 1 else s[0]) if s else np.empty(0, np.uint64) for s in sets]
 
 

@@ -16,7 +16,7 @@ class Memo(dict):
     is bounded while results stay the same.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most, self.new = most, []
 
@@ -45,7 +45,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, te
 
 
 def per_worker(make: Callable, *key, _made: dict = {}):  # noqa: B006  the default is the worker's own table
-    """``make(*key)``, made once in each Python worker and kept between its tasks."""
+    """``make(*key)``, made once in each Python worker and kept between its tasks, until it makes something else.
+
+    So a worker that serves one stage after the other holds the tables of one operator at a time.
+    """
     if (make, key) not in _made:
+        _made.clear()
         _made[make, key] = make(*key)
     return _made[make, key]
