@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import catalogue
+from quern.plans import activity, catalogue, retrieval, selection
 
-MODULES = (catalogue,)
+MODULES = (retrieval, catalogue, selection, activity)
 
 
 def queries() -> dict:
