@@ -210,7 +210,7 @@ def _encode(batches, path: str):
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids. ``path`` is the tokenizer file on every executor."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(functools.partial(_encode, path=path), f"doc_id {kind}, ids array<int>")
+    return staging.small_batches(docs.select("doc_id", "text")).mapInArrow(functools.partial(_encode, path=path), f"doc_id {kind}, ids array<int>")
 
 
 def _decode(batches, path: str):
@@ -244,7 +244,7 @@ def _digest(batches, path: str):
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: a round trip of every text in one pass without a shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(functools.partial(_digest, path=path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return staging.small_batches(docs.select("doc_id", "text")).mapInArrow(functools.partial(_digest, path=path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.02)
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
     at = (F.xxhash64(F.col("doc_id")).cast("double") / 2.0**64) + 0.5
     share = functools.reduce(lambda c, kv: c.when(F.col("lang") == kv[0], F.lit(min(1.0, per_language / kv[1]))), counts.items(), F).otherwise(F.lit(0.0))
-    sample = known.where(at < share).mapInArrow(_training_bags, "lang string, fold int, bucket array<int>, n array<int>").toArrow()
+    sample = staging.small_batches(known.where(at < share)).mapInArrow(_training_bags, "lang string, fold int, bucket array<int>, n array<int>").toArrow()
     languages = tuple(sorted(set(sample.column("lang").to_pylist())))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
@@ -209,7 +209,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float a language
     key = f"{zlib.crc32(model.table.tobytes()):08x}-{len(model.languages)}"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(functools.partial(_predict, shared=shared, key=key), f"doc_id {kind}, lang_pred string, score double")
+    found = staging.small_batches(docs.select("doc_id", "text")).mapInArrow(functools.partial(_predict, shared=shared, key=key), f"doc_id {kind}, lang_pred string, score double")
     return found.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("score") >= model.threshold))
 
 

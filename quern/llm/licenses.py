@@ -217,7 +217,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     """One row per match: doc_id, license, coverage, n_matched, start_char, end_char (exclusive)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     scan = functools.partial(_scan, templates=tuple(sorted((templates or TEMPLATES).items())), least=least)
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, license string, coverage double, n_matched int, start_char long, end_char long")
+    return staging.small_batches(docs.select("doc_id", "text")).mapInArrow(scan, f"doc_id {kind}, license string, coverage double, n_matched int, start_char long, end_char long")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def _sketch(batches):
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), digest and registers of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_sketch, f"doc_id {kind}, n long, digest binary, registers binary")
+    return staging.small_batches(docs.select("doc_id", "text")).mapInArrow(_sketch, f"doc_id {kind}, n long, digest binary, registers binary")
 
 
 def _rows(column: pa.Array) -> np.ndarray:

@@ -135,7 +135,7 @@ def attributed(docs: DataFrame, path: str, rule: str = "largest", sections: str
     kind = docs.schema["doc_id"].dataType.simpleString()
     count = "double" if rule == "split" else "long"
     schema = f"doc_id {kind}, section int, start_char long, end_char long, n_tokens {count}, n_crossing long"
-    return docs.select("doc_id", "text", *[sections] * bool(sections)).mapInArrow(functools.partial(_attributed, path=path, rule=rule, by=sections), schema)
+    return staging.small_batches(docs.select("doc_id", "text", *[sections] * bool(sections))).mapInArrow(functools.partial(_attributed, path=path, rule=rule, by=sections), schema)
 
 
 def default_path() -> str:
