@@ -72,7 +72,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
