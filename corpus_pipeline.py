@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture with tempered source weights has room for stay."""
-    return mixing.keep_mixed(docs)
+    """All documents stay, in the order of the mixture with tempered source weights."""
+    return mixing.in_mixed_order(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ source with a third of all rows is spread over as many ranges as it needs.
 The mixture ends at the first slot whose source has no rows left: rows beyond it are not selected, because
 selecting them would leave the target weights. Only a source's last block can be short.
 
+``whole`` goes on instead: when a source runs dry, the sources that still have rows are scheduled anew with their units
+among themselves, and so on until all rows have a place. While all sources have rows this is the same schedule under
+the same bound, but that every source with rows has one unit at least. The pipeline's stage mixes so: it keeps every
+document and puts the table in the mixture's order.
+
 Defined results: a null source is a source of its own; rows with equal or null doc_id are ranked by the order of
 their hash and get different places; sources without weight units are not selected; an empty table gives an empty
 result.
@@ -62,13 +67,50 @@ def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int]]:
     return plan
 
 
-def ranked_in_source(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, source, key, rank): the 0-based rank within the source by (md5 of doc_id, doc_id)."""
+def whole_units(counts: dict[str, int], exponent: float = EXPONENT, resolution: int = RESOLUTION) -> dict[str, int]:
+    """Tempered units, at least one for every source with rows; the resolution grows by what that takes."""
+    counts = {k: n for k, n in counts.items() if n}
+    return {k: max(1, u) for k, u in tempered_units(counts, exponent, max(resolution, len(counts))).items()}
+
+
+def whole_plan(blocks: dict[str, int], units: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
+    """A schedule of all blocks in phases, each of which ends when a source runs dry.
+
+    First (source, phase, first block, end, units, period), then (source, phase, block in the period, first slot).
+    """
+    left, done, start, spans, places = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, [], []
+    while left:
+        common = math.gcd(*(units[k] for k in left))
+        live = {k: units[k] // common for k in left}
+        plan, period, phase = pfair_period(live), sum(live.values()), len(blocks) - len(left)
+        slot_of = {(source, j): slot for source, j, slot in plan}
+        horizon = min(left[k] // u * period + slot_of[k, left[k] % u] for k, u in live.items())
+        used = {k: horizon // period * u for k, u in live.items()}
+        for source, j, slot in plan:
+            used[source] += slot < horizon % period
+            if slot < horizon:
+                places.append((source, phase, j, start + slot))
+        spans += [(k, phase, done[k], done[k] + used[k], u, period) for k, u in live.items()]
+        start += horizon
+        for k, n in used.items():
+            done[k] += n
+            left[k] -= n
+        left = {k: n for k, n in left.items() if n}
+    return spans, places
+
+
+def ranked_in_source(docs: DataFrame, range_rows: int = RANGE_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, key, rank): the 0-based rank within the source by (md5 of doc_id, doc_id).
+
+    ``ties`` are further columns, which order rows of one doc_id, spread those without any, and are kept.
+    """
+    none = F.md5(F.concat_ws(",", *ties)) if ties else F.lit("")
     rows = docs.select(
         "doc_id",
         "source",
+        *ties,
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("key"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("order"),
+        F.coalesce(F.md5(F.col("doc_id").cast("string")), none).alias("order"),
     )
     largest = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     per_range = max(range_rows, math.sqrt(largest))  # so neither a range nor the list of ranges is more than one task's work
@@ -76,14 +118,19 @@ def ranked_in_source(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     rows = rows.withColumn("range", F.substring("order", 1, digits))
     before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("key", "range").count().select("key", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("key", "range").orderBy("order", "doc_id")
+    within = Window.partitionBy("key", "range").orderBy("order", "doc_id", *ties)
     return (
         rows.withColumn("n", F.row_number().over(within))
         .join(offsets, ["key", "range"])
-        .select("doc_id", "source", "key", (F.col("offset") + F.col("n") - 1).alias("rank"))
+        .select("doc_id", "source", *ties, "key", (F.col("offset") + F.col("n") - 1).alias("rank"))
     )
 
 
+def source_counts(docs: DataFrame) -> dict[str, int]:
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return {r["key"]: r["count"] for r in docs.groupBy(key.alias("key")).count().collect()}
+
+
 def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, source, block (in its source), slot, selected, position (null if not selected).
 
@@ -91,8 +138,7 @@ def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int
     Without it the weights are tempered counts. Sources are few: they are configured, one weight each.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    counts = {r["key"]: r["count"] for r in docs.groupBy(key.alias("key")).count().limit(RESOLUTION + 1).collect()}
+    counts = source_counts(docs)
     units = tempered_units(counts) if units is None else {k: u for k, u in units.items() if u}
     plan, period = pfair_period(units), sum(units.values())
     slot_of = {(source, j): slot for source, j, slot in plan}
@@ -114,8 +160,35 @@ def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int
     )
 
 
+def mixed_whole(docs: DataFrame, block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document, none left out: doc_id, source, ``ties``, slot, position."""
+    spark, counts = docs.sparkSession, source_counts(docs)
+    spans, places = whole_plan({k: -(-n // block_rows) for k, n in counts.items()}, whole_units(counts))
+    spans = spark.createDataFrame(spans, "key string, phase long, first long, end long, units long, period long")
+    places = spark.createDataFrame(places, "key string, phase long, j long, slot0 long")
+    placed = ranked_in_source(docs, ties=ties).withColumn("block", F.expr(f"rank div {block_rows}"))
+    placed = placed.join(F.broadcast(spans), "key").where("block >= first AND block < end").withColumn("j", F.expr("(block - first) % units"))
+    placed = placed.join(F.broadcast(places), ["key", "phase", "j"]).withColumn("slot", F.expr("(block - first) div units * period + slot0"))
+    return placed.select("doc_id", "source", *ties, "slot", F.expr(f"slot * {block_rows} + rank % {block_rows}").alias("position"))
+
+
+def in_mixed_order(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All documents with all their columns, sorted by their position in the whole mixture."""
+    key = [staging.H1, staging.H2]
+    light = staging.staged(staging.keyed(docs).select("doc_id", "source", *key), "sources")
+    placed = mixed_whole(light, block_rows, tuple(key)).groupBy(*key).agg(F.collect_list("position").alias("at"))
+    placed = staging.staged(placed, "places")
+    single = placed.where("size(at) = 1").select(*key, F.col("at")[0].alias("__at"))
+    several = placed.where("size(at) > 1")  # rows that are equal in all columns: one of them takes all their places
+    found = staging.keyed(docs).join(staging.broadcast_if_few(single), key).select(*docs.columns, "__at")
+    if not several.isEmpty():
+        one = staging.keyed(docs).join(staging.broadcast_if_few(several), key).dropDuplicates(key)
+        found = found.unionByName(one.select(*docs.columns, F.explode("at").alias("__at")))
+    return found.sort("__at").drop("__at")
+
+
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mixture, with all their columns."""
+    """The documents of the mixture that ends with its first source, with all their columns."""
     return staging.without(docs, mixed(docs, **how).where(~F.col("selected")))
 
 

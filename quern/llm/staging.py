@@ -80,6 +80,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
 
 
+H1, H2 = "__h1", "__h2"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two hashes of the whole row, so that rows are told apart whatever their doc_id; equal rows share them."""
+    return docs.withColumns({H1: F.xxhash64(*docs.columns), H2: F.xxhash64(F.lit("2"), *docs.columns)})
+
+
+def broadcast_if_few(ids: DataFrame) -> DataFrame:
+    """Staged ``ids``, broadcast up to BROADCAST_IDS of them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of ``path``, and ``path`` as a Hadoop Path."""
     jvm = spark.sparkContext._jvm

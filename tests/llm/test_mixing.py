@@ -50,3 +50,38 @@ def test_odd_rows(odd, none):
     assert mixing.mixed(odd).count() == odd.count()
     assert mixing.mixed(none).count() == 0 and mixing.keep_mixed(none).count() == 0
     assert mixing.keep_mixed(odd).columns == odd.columns
+
+
+def test_sources_beyond_the_resolution_are_counted(spark):
+    docs = spark.range(2200).selectExpr("id AS doc_id", "concat('s', id % 1100) AS source")
+    got = mixing.mixed(docs, {f"=s{i}": 1 for i in range(1100)}, block_rows=1)
+    assert got.where("selected").count() == 2200
+
+
+@pytest.mark.parametrize("counts", [{"a": 1}, {"a": 900, "b": 3}, {"a": 50_000, "b": 1}, {f"s{i}": int(9000 / i**1.5) for i in range(1, 41)}])
+def test_a_dry_source_does_not_end_the_whole_mixture(counts):
+    units = mixing.whole_units(counts)
+    assert set(units) == set(counts) and min(units.values()) >= 1
+    spans, places = mixing.whole_plan(counts, units)
+    slots = {(s, p, j): slot for s, p, j, slot in places}
+    at = sorted((slots[s, p, (b - first) % u] + (b - first) // u * period, s) for s, p, first, end, u, period in spans for b in range(first, end))
+    assert [t for t, _ in at] == list(range(sum(counts.values())))  # every slot once
+    done = dict.fromkeys(counts, 0)
+    for t, s in at:
+        done[s] += 1
+        assert all(abs(done[k] - u * (t + 1) / sum(units.values())) < 1 for k, u in units.items())
+        if any(done[k] == n for k, n in counts.items()):
+            break
+
+
+def test_the_stage_keeps_rare_and_common_sources(spark):
+    """One source of 40 rows among common ones; rows without doc_id, and equal rows, keep their number too."""
+    docs = spark.range(6040).selectExpr("if(id % 50 = 3, null, id div 2 * 2) AS doc_id", "concat('text ', id div 2) AS text", "if(id < 40, 'rare', concat('s', id % 6 div 2)) AS source")
+    got = mixing.in_mixed_order(docs, block_rows=4)
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == docs.columns and sorted(rows, key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    units = mixing.whole_units({"rare": 40, "s0": 2000, "s1": 2000, "s2": 2000})
+    done = dict.fromkeys(units, 0)
+    for n, (_, _, source) in enumerate(rows[:800], 1):
+        done[source] += 1
+        assert all(abs(done[s] - u * n / sum(units.values())) < 8 for s, u in units.items())
