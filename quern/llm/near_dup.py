@@ -5,8 +5,8 @@
    a byte. Registers merge by maximum, and two registers are equal about as often as the sets' similarity.
 2. Classes. Documents with equal sets (by count and a 128-bit sum of hashes) become one class, named by its smallest
    doc_id; only classes go on.
-3. Bands. ``BANDS`` bands of ``ROWS`` registers each; classes that agree in a whole band share a bucket. At a
-   similarity of 0.85 two classes share none with probability 3e-7.
+3. Bands. Classes that agree in a whole band of registers share a bucket. ``banding`` gives the longest bands with which
+   two classes at the threshold share none with a probability of at most ``MISS``: 32 bands of 6 at 0.85, 38 of 5 at 0.80.
 4. Stars. In every bucket the class with the most company over all bands is the pivot: the text that others were made
    from, where there is one. Every class first meets one of its pivots, that with the most company, and then those
    pivots that are not connected with it by now. Pairs are estimated from their registers and known set sizes by
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from quern.llm import graph, staging
 from quern.llm.words import text_slices
 
-WORDS, BANDS, ROWS, BASE, OFFSET = 5, 32, 6, 1.1, 24
-REGISTERS = BANDS * ROWS
+WORDS, REGISTERS, BASE, OFFSET = 5, 192, 1.1, 24
+MISS = 3e-7
 CHUNK, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 21
 SLACK = 4.5  # standard deviations by which an estimate may fall short of the threshold
 
@@ -145,6 +145,14 @@ def estimated(up: np.ndarray, down: np.ndarray, n: np.ndarray, m: np.ndarray) ->
     return (low + high) / 2
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and rows a band, for a threshold; single registers below about 0.08, where 192 of them miss more than MISS."""
+    for rows in range(REGISTERS, 0, -1):
+        bands = REGISTERS // rows
+        if rows == 1 or (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+
+
 def least_estimate(percent: int) -> float:
     t = percent / 100
     return t - SLACK * math.sqrt(t * (1 - t) / REGISTERS)
@@ -238,7 +246,8 @@ class _Block:
         other = other[100 * np.minimum(n[other], m) >= self.percent * np.maximum(n[other], m)]
         if not len(other):
             return other
-        same = (self.registers[other] == self.registers[i]).reshape(len(other), BANDS, ROWS).all(2)
+        bands, rows = banding(self.percent)
+        same = (self.registers[other] == self.registers[i])[:, : bands * rows].reshape(len(other), bands, rows).all(2)
         other = other[same.argmax(1) == self.band]  # the first band that a pair shares
         one = np.broadcast_to(self.registers[i], (len(other), REGISTERS))
         return other[_open(self.registers[other], one, n[other], np.broadcast_to(m, len(other)), self.percent)] if len(other) else other
@@ -315,7 +324,8 @@ def _rest(placed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified links (u, v) between class names: enough of them to connect whatever is connected."""
     kind = classes.schema["rep"].dataType.simpleString()
-    key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> substring(registers, i * {ROWS} + 1, {ROWS}))")
+    bands, rows = banding(percent)
+    key = F.expr(f"transform(sequence(0, {bands - 1}), i -> substring(registers, i * {rows} + 1, {rows}))")
     banded = classes.select("rep", F.posexplode(key).alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staging.staged(banded.join(buckets, ["band", "key"]), "members")

@@ -109,3 +109,20 @@ def test_group_without_a_text_that_is_near_all(spark, monkeypatch):
         monkeypatch.setattr(near_dup, "BLOCK", block)
         got = near_dup.near_duplicates(docs).collect()
         assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_bands_follow_the_threshold():
+    assert near_dup.banding(85) == (32, 6) and near_dup.banding(80) == (38, 5)
+    for percent in range(10, 101):
+        bands, rows = near_dup.banding(percent)
+        assert bands * rows <= near_dup.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= near_dup.MISS
+
+
+def test_a_caller_may_ask_for_80(spark):
+    """200 words with four changed far from each other: 176 of 216 shingles are shared."""
+    words = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]
+    far = [f"y{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    for percent, kept in ((80, [1, 3]), (85, [1, 2, 3])):
+        assert sorted(r["doc_id"] for r in near_dup.keep_representatives(docs, percent).collect()) == kept
