@@ -12,7 +12,8 @@
    group is resolved, never whether.
 
 Defined results: a null text counts as empty; a null doc_id is never a keep_id unless its whole group has none;
-rows that repeat a doc_id with the same text are kept or dropped together; an empty table gives an empty result.
+rows that repeat a doc_id with the same text are kept or dropped together by ``exact_groups``, while ``keep_first`` keeps
+just one row of a group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,9 +55,13 @@ def with_groups(digests: DataFrame, max_heavy: int = 1024, counters: int = 8192,
     return hot.unionByName(rest)
 
 
+def text_digest():
+    return F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
+
+
 def exact_groups(docs: DataFrame, **heavy) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = docs.select("doc_id", F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)).alias("digest"))
+    digests = docs.select("doc_id", text_digest().alias("digest"))
     return with_groups(staging.staged(digests, "digests"), **heavy).select(
         "doc_id",
         "keep_id",
@@ -67,8 +72,16 @@ def exact_groups(docs: DataFrame, **heavy) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **heavy) -> DataFrame:
-    """The documents that stay, with all their columns. Only the ids of dropped rows meet the texts again."""
-    return staging.without(docs, exact_groups(docs, **heavy).where(~F.col("kept")))
+    """One row of each group, with all its columns: the smallest doc_id, null after all others; then by the row's hash.
+
+    Rows are told apart by themselves, so what repeats a doc_id, or has none, neither stays nor goes along with another.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", staging.H1, staging.H2)  # min() takes false first
+    digests = staging.staged(staging.keyed(docs).select(row.alias("doc_id"), text_digest().alias("digest")), "digests")
+    groups = with_groups(digests, **heavy)
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    decided = groups.groupBy(F.col(f"doc_id.{staging.H1}"), F.col(f"doc_id.{staging.H2}")).agg(F.bool_or(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    return staging.keep_limits(docs, decided.select(staging.H1, staging.H2, F.col("first").cast("long").alias("__left"), F.col("n").alias("__n")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

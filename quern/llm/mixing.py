@@ -131,8 +131,8 @@ def source_counts(docs: DataFrame) -> dict[str, int]:
     return {r["key"]: r["count"] for r in docs.groupBy(key.alias("key")).count().collect()}
 
 
-def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per document: doc_id, source, block (in its source), slot, selected, position (null if not selected).
+def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, ``ties``, block (in its source), slot, selected, position (null if not selected).
 
     ``units`` maps sources to weight units; a key is the source with ``=`` before it, or empty for the null source.
     Without it the weights are tempered counts. Sources are few: they are configured, one weight each.
@@ -148,7 +148,7 @@ def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int
         ends.append(blocks // u * period + slot_of[source, blocks % u])
     horizon = min(ends, default=0)
     table = spark.createDataFrame([(s, j, slot, units[s]) for s, j, slot in plan], "key string, j long, slot0 long, units long")
-    placed = ranked_in_source(docs).withColumn("block", F.floor(F.col("rank") / block_rows))
+    placed = ranked_in_source(docs, ties=ties).withColumn("block", F.floor(F.col("rank") / block_rows))
     weights = F.broadcast(spark.createDataFrame([(s, u) for s, u in units.items()], "key string, u long"))
     placed = placed.join(weights, "key", "left").withColumn("j", F.expr("block % u"))
     slot = F.expr(f"(block div units) * {period} + slot0")
@@ -156,7 +156,7 @@ def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int
     return (
         placed.join(F.broadcast(table), ["key", "j"], "left")  # sum(units) rows
         .withColumn("slot", slot)
-        .select("doc_id", "source", "block", "slot", chosen.alias("selected"), F.when(chosen, F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
+        .select("doc_id", "source", *ties, "block", "slot", chosen.alias("selected"), F.when(chosen, F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
     )
 
 
@@ -189,7 +189,9 @@ def in_mixed_order(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture that ends with its first source, with all their columns."""
-    return staging.without(docs, mixed(docs, **how).where(~F.col("selected")))
+    key = (staging.H1, staging.H2)
+    light = staging.staged(staging.keyed(docs).select("doc_id", "source", *key), "sources")
+    return staging.keep_rows(docs, mixed(light, ties=key, **how).select(*key, F.col("selected").alias("keep")))
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

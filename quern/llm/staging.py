@@ -93,6 +93,23 @@ def broadcast_if_few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` but for the rows that ``decided`` (H1, H2, keep: one row each) drops, row by row and not by doc_id."""
+    return keep_limits(docs, decided.groupBy(H1, H2).agg(F.count_if("keep").alias("__left"), F.count(F.lit(1)).alias("__n")))
+
+
+def keep_limits(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``docs`` with ``__left`` of the ``__n`` rows that share H1 and H2, which are rows equal in all columns."""
+    key = [H1, H2]
+    limits = staged(counts.where("__left < __n").select(*key, "__left"), "limits")
+    kept = keyed(docs).join(broadcast_if_few(limits), key, "left_anti").select(*docs.columns)
+    partly = limits.where("__left > 0")
+    if partly.isEmpty():
+        return kept
+    one = keyed(docs).join(broadcast_if_few(partly), key).dropDuplicates(key)
+    return kept.unionByName(one.withColumn("__i", F.explode(F.expr("sequence(1, __left)"))).select(*docs.columns))
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of ``path``, and ``path`` as a Hadoop Path."""
     jvm = spark.sparkContext._jvm

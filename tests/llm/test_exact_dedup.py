@@ -40,3 +40,12 @@ def test_keep_first_keeps_columns(odd):
 def test_empty(none):
     assert exact_dedup.exact_groups(none).count() == 0
     assert exact_dedup.keep_first(none).count() == 0
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark):
+    """Rows without doc_id, rows that share one, and copies that repeat the winner's."""
+    rows = [(None, "a", "x"), (None, "a", "x"), (None, "b", "x"), (None, None, "x"), (1, "c g", "x"), (1, "c g", "x"), (1, "c  g", "y"), (1, "d", "x"), (2, "d", "x"), (2, "e", "x"), (3, "c g", "x"), (3, "f", "x"), (None, "f", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for heavy in ({}, {"heavy_rows": 1}):
+        got = [(r["doc_id"], (r["text"] or "").replace("  ", " ")) for r in exact_dedup.keep_first(docs, **heavy).collect()]
+        assert sorted(got, key=repr) == sorted([(None, "a"), (None, "b"), (None, ""), (1, "c g"), (1, "d"), (2, "e"), (3, "f")], key=repr)

@@ -64,3 +64,12 @@ def test_wrong_labels_do_not_reject_right_documents():
     label[wrong] = (label[wrong] + 1) % 4
     t, least = li.calibrated(scores, label, 0.02)
     assert (li._softmax(scores / t).max(1) >= least).mean() > 0.99
+
+
+def test_rows_stay_or_go_by_themselves(spark):
+    """A text without a letter takes no other text of its doc_id, or without one, along."""
+    rows = [(i, "the cat and the dog " * 5 if i % 2 else "der Hund und die Katze " * 5, "en" if i % 2 else "de") for i in range(80)]
+    bad = [(None, "123", None), (3, "!!", None), (None, None, "en")]
+    more = [(None, "the dog and the cat " * 5, None), (None, "the dog and the cat " * 5, None)]
+    docs = spark.createDataFrame(rows + bad + more, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, li.keep_identified(docs).collect()), key=repr) == sorted(rows + more, key=repr)

@@ -85,3 +85,12 @@ def test_the_stage_keeps_rare_and_common_sources(spark):
     for n, (_, _, source) in enumerate(rows[:800], 1):
         done[source] += 1
         assert all(abs(done[s] - u * n / sum(units.values())) < 8 for s, u in units.items())
+
+
+def test_rows_are_kept_one_by_one(spark):
+    """Rows that share a doc_id, have none, or are equal: as many stay as are selected, of each source."""
+    docs = spark.range(400).selectExpr("if(id % 5 = 0, null, id % 40) AS doc_id", "if(id % 2 = 0, 'same', concat('t', id)) AS text", "if(id < 30, 'a', 'b') AS source")
+    want = mixing.mixed(docs, {"=a": 1, "=b": 1}, block_rows=1).where("selected").groupBy("source").count().collect()
+    got = mixing.keep_mixed(docs, units={"=a": 1, "=b": 1}, block_rows=1)
+    assert sorted(map(tuple, want)) == sorted(map(tuple, got.groupBy("source").count().collect())) == [("a", 30), ("b", 30)]
+    assert got.exceptAll(docs).count() == 0
