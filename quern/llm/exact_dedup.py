@@ -55,13 +55,13 @@ def with_groups(digests: DataFrame, max_heavy: int = 1024, counters: int = 8192,
     return hot.unionByName(rest)
 
 
-def text_digest():
-    return F.unhex(F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
+def text_digest(text):
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
 
 
 def exact_groups(docs: DataFrame, **heavy) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = docs.select("doc_id", text_digest().alias("digest"))
+    digests = docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
     return with_groups(staging.staged(digests, "digests"), **heavy).select(
         "doc_id",
         "keep_id",
@@ -76,12 +76,12 @@ def keep_first(docs: DataFrame, **heavy) -> DataFrame:
 
     Rows are told apart by themselves, so what repeats a doc_id, or has none, neither stays nor goes along with another.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", staging.H1, staging.H2)  # min() takes false first
-    digests = staging.staged(staging.keyed(docs).select(row.alias("doc_id"), text_digest().alias("digest")), "digests")
+    row = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", staging.H1, staging.H2)  # min() takes false first
+    digests = staging.staged(staging.keyed(docs).select(row.alias("doc_id"), text_digest(F.col("row.text")).alias("digest")), "digests")
     groups = with_groups(digests, **heavy)
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     decided = groups.groupBy(F.col(f"doc_id.{staging.H1}"), F.col(f"doc_id.{staging.H2}")).agg(F.bool_or(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    return staging.keep_limits(docs, decided.select(staging.H1, staging.H2, F.col("first").cast("long").alias("__left"), F.col("n").alias("__n")))
+    return staging.keep_limits(docs, decided.select(staging.H1, staging.H2, F.col("first").cast("long").alias("left"), "n"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

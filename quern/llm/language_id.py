@@ -221,7 +221,7 @@ def held_out():
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with all their columns; a model of ``docs``' own labels decides."""
     model = train(docs.where(~held_out()))
-    rows = staging.keyed(docs).select(F.struct(staging.H1, staging.H2).alias("doc_id"), "text")
+    rows = staging.keyed(docs).select(F.struct(staging.H1, staging.H2).alias("doc_id"), "row.text")
     return staging.keep_rows(docs, predicted(rows, model).select("doc_id.*", F.col("accepted").alias("keep")))
 
 

@@ -175,22 +175,22 @@ def mixed_whole(docs: DataFrame, block_rows: int = BLOCK_ROWS, ties: tuple[str,
 def in_mixed_order(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All documents with all their columns, sorted by their position in the whole mixture."""
     key = [staging.H1, staging.H2]
-    light = staging.staged(staging.keyed(docs).select("doc_id", "source", *key), "sources")
+    light = staging.staged(staging.keyed(docs).select("row.doc_id", "row.source", *key), "sources")
     placed = mixed_whole(light, block_rows, tuple(key)).groupBy(*key).agg(F.collect_list("position").alias("at"))
     placed = staging.staged(placed, "places")
-    single = placed.where("size(at) = 1").select(*key, F.col("at")[0].alias("__at"))
+    single = placed.where("size(at) = 1").select(*key, F.col("at")[0].alias("place"))
     several = placed.where("size(at) > 1")  # rows that are equal in all columns: one of them takes all their places
-    found = staging.keyed(docs).join(staging.broadcast_if_few(single), key).select(*docs.columns, "__at")
+    found = staging.keyed(docs).join(staging.broadcast_if_few(single), key).select("row", "place")
     if not several.isEmpty():
         one = staging.keyed(docs).join(staging.broadcast_if_few(several), key).dropDuplicates(key)
-        found = found.unionByName(one.select(*docs.columns, F.explode("at").alias("__at")))
-    return found.sort("__at").drop("__at")
+        found = found.unionByName(one.select("row", F.explode("at").alias("place")))
+    return found.sort("place").select("row.*")
 
 
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture that ends with its first source, with all their columns."""
     key = (staging.H1, staging.H2)
-    light = staging.staged(staging.keyed(docs).select("doc_id", "source", *key), "sources")
+    light = staging.staged(staging.keyed(docs).select("row.doc_id", "row.source", *key), "sources")
     return staging.keep_rows(docs, mixed(light, ties=key, **how).select(*key, F.col("selected").alias("keep")))
 
 

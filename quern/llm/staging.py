@@ -7,6 +7,7 @@ executors share, so a lost executor costs a re-read and never a recomputation of
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -38,76 +39,101 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again."""
+def staged(df: DataFrame, name: str, keep: list | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it again. ``keep`` is the list of a ``scratch`` block."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if keep is not None:
+        keep.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose texts go to Python workers at most BATCH_ROWS at a time: Spark's 10000 are too many for long texts."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """``df``, whose rows go to Python workers in batches of at most BATCH_BYTES, or one row: texts may be long.
+
+    The session's own limit stays where it is lower; no result depends on it.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     return df
 
 
 BROADCAST_IDS = 2_000_000
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def broadcast_if_few(ids: DataFrame) -> DataFrame:
+    """Staged ``ids``, broadcast up to BROADCAST_IDS of them (some 50 MB at most): the texts then stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among ``ids`` (one column), broadcast or shuffled as in ``without``."""
-    ids = staged(ids.toDF("__id"), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
+    name = free_name(docs, "__id")
+    ids = broadcast_if_few(staged(ids.toDF(name), "ids"))
+    return docs.join(ids, docs["doc_id"] == ids[name], "left_semi")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``gone`` (doc_id; null is an id like any other).
-
-    The ids are staged and counted: up to BROADCAST_IDS of them (16 MB) are broadcast, so the texts stay where they are;
-    more are joined by a shuffle.
-    """
-    ids = staged(gone.select(F.col("doc_id").alias("__gone")), "gone")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` but for the rows whose doc_id is in ``gone`` (doc_id; null is an id like any other)."""
+    name = free_name(docs, "__gone")
+    ids = broadcast_if_few(staged(gone.select(F.col("doc_id").alias(name)), "gone"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_anti")
 
 
-H1, H2 = "__h1", "__h2"
+H1, H2 = "h1", "h2"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with two hashes of the whole row, so that rows are told apart whatever their doc_id; equal rows share them."""
-    return docs.withColumns({H1: F.xxhash64(*docs.columns), H2: F.xxhash64(F.lit("2"), *docs.columns)})
-
+    """(row, h1, h2): each row of ``docs`` as a struct, with two hashes of the whole row.
 
-def broadcast_if_few(ids: DataFrame) -> DataFrame:
-    """Staged ``ids``, broadcast up to BROADCAST_IDS of them."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    So rows are told apart whatever their doc_id, and columns may have any names; equal rows share their hashes.
+    """
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias(H1), F.xxhash64(F.lit("2"), *columns).alias(H2))
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` but for the rows that ``decided`` (H1, H2, keep: one row each) drops, row by row and not by doc_id."""
-    return keep_limits(docs, decided.groupBy(H1, H2).agg(F.count_if("keep").alias("__left"), F.count(F.lit(1)).alias("__n")))
+    return keep_limits(docs, decided.groupBy(H1, H2).agg(F.count_if("keep").alias("left"), F.count(F.lit(1)).alias("n")))
 
 
 def keep_limits(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``docs`` with ``__left`` of the ``__n`` rows that share H1 and H2, which are rows equal in all columns."""
+    """``docs`` with ``left`` of the ``n`` rows that share H1 and H2, which are rows equal in all columns."""
     key = [H1, H2]
-    limits = staged(counts.where("__left < __n").select(*key, "__left"), "limits")
-    kept = keyed(docs).join(broadcast_if_few(limits), key, "left_anti").select(*docs.columns)
-    partly = limits.where("__left > 0")
+    limits = staged(counts.where("left < n").select(*key, "left"), "limits")
+    kept = keyed(docs).join(broadcast_if_few(limits), key, "left_anti").select("row.*")
+    partly = limits.where("left > 0")
     if partly.isEmpty():
         return kept
     one = keyed(docs).join(broadcast_if_few(partly), key).dropDuplicates(key)
-    return kept.unionByName(one.withColumn("__i", F.explode(F.expr("sequence(1, __left)"))).select(*docs.columns))
+    return kept.unionByName(one.withColumn("i", F.explode(F.expr("sequence(1, left)"))).select("row.*"))
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables staged in this block are removed at its end, but for those whose path is added to the list it gives."""
+    first, kept = len(_WRITTEN), []
+    try:
+        yield kept
+    finally:
+        mine = _WRITTEN[first:]
+        _WRITTEN[first:] = [w for w in mine if w[1] in kept]
+        for spark, path in mine:
+            if path not in kept:
+                remove(spark, path)
 
 
 def file_system(spark: SparkSession, path: str):

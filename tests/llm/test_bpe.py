@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,3 +66,29 @@ def test_odd_rows(odd, none, library):
     texts = {(r["doc_id"], r["text"]) for r in bpe.decoded(bpe.encoded(odd, path), path).collect()}
     assert texts == {(i, library.decode(list(x), skip_special_tokens=False)) for i, x in ids}
     assert bpe.digests(odd, path).count() == odd.count() and bpe.digests(none, path).count() == 0
+
+
+def test_rows_of_trees_merge_like_one_tree(own):
+    """Words of every length, those of a batch together, by both kinds of tree."""
+    draw = random.Random(5)
+    words = list({"".join(draw.choice("abcdeé1!'") for _ in range(draw.randrange(1, 90))).encode() for _ in range(1500)} | {b"a", "é".encode(), b"ab" * 32, b"ab" * 33, b"x" * 65})
+    for word, ids in own.words_of(words).items():
+        symbols = [own.inner[b] for b in word[:-1]] + [own.last[word[-1]]]
+        assert np.frombuffer(ids, np.int32).tolist() == own.merged(symbols), word
+    assert own.words_of([]) == {}
+
+
+def test_every_code_point_is_as_in_the_library(library, own):
+    """Each by itself between letters, in texts of 256 code points."""
+    for first in range(0, 0x110000, 256):
+        points = [chr(c) for c in range(first, first + 256) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{c}b {c}" for c in points)
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(first)
+
+
+def test_what_a_worker_keeps_is_bounded():
+    small = bpe.Bpe(bpe.default_path(), most=1000, most_bytes=20_000)
+    for i in range(20):
+        small.rendered_all([" ".join(f"w{i}x{k}" for k in range(300)), "z" * 10_000 + str(i)])
+        assert len(small.of_word) < 2500 and small.of_word.bytes < 60_000 and small.of_piece.bytes < 60_000
+        assert all(len(p) <= 64 for p in small.of_piece)
