@@ -21,6 +21,7 @@ prediction.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -98,14 +99,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def sgd(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: int, rate: float = 2.0, batch: int = 64, seed: int = 7):
-    """Embeddings, weights and bias by stochastic gradient descent over minibatches of bags."""
+def mean_scores(table: np.ndarray, bias: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Scores of each language for bags: the mean of their subwords' rows of ``table``, plus ``bias``."""
+    return np.array([(table[b] * n[:, None]).sum(0) / n.sum() + bias for b, n in bags]).reshape(len(bags), len(bias))
+
+
+def log_loss(scores: np.ndarray, label: np.ndarray) -> float:
+    return float(-np.log(np.maximum(_softmax(scores)[np.arange(len(label)), label], 1e-12)).mean())
+
+
+def sgd(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: int, held: tuple = ((), ()), rate: float = 2.0, batch: int = 64, seed: int = 7, patience: int = 3):
+    """Embeddings, weights and bias by stochastic gradient descent over minibatches of bags.
+
+    Small samples are gone over more often, until the loss over the ``held`` bags and labels has not fallen by a
+    thousandth for ``patience`` epochs.
+    """
     draw = np.random.default_rng(seed)
     emb = draw.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = draw.normal(0, 0.3, (WIDTH, languages)).astype(np.float32), np.zeros(languages, np.float32)
     per_epoch = -(-len(bags) // batch)
-    epochs = max(8, min(80, 1500 // per_epoch))  # small samples are gone over more often
-    steps, done = epochs * per_epoch, 0
+    epochs = max(8, min(80, 1500 // per_epoch))
+    steps, done, least, waited = epochs * per_epoch, 0, math.inf, 0
     for _ in range(epochs):
         order = draw.permutation(len(bags))
         for at in range(0, len(order), batch):
@@ -121,7 +135,17 @@ def sgd(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages:
             back = (grad @ out.T) / len(rows)
             out -= lr * mean.T @ grad / len(rows)
             bias -= lr * grad.mean(0)
-            np.subtract.at(emb, bucket, lr * len(rows) / 4 * np.repeat(back, sizes, axis=0) * weight[:, None])
+            step = np.repeat(back * np.float32(lr * len(rows) / 4), sizes, axis=0) * weight[:, None]
+            by_bucket = np.argsort(bucket.astype(np.uint16), kind="stable")  # a bucket's steps are summed before it moves
+            bucket = bucket[by_bucket]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            emb[bucket[first]] -= np.add.reduceat(step[by_bucket], first, axis=0)
+        if len(held[0]):
+            loss = log_loss(mean_scores(emb @ out, bias, held[0]), held[1])
+            waited = 0 if loss < least * 0.999 else waited + 1
+            least = min(least, loss)
+            if waited >= patience:
+                break
     return emb, out, bias
 
 
@@ -140,15 +164,19 @@ def calibrated(scores: np.ndarray, label: np.ndarray, target_error: float) -> tu
 
 
 def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.02) -> Model:
-    """Fit on a bounded sample of ``docs``' labelled rows: about ``per_language`` rows of each language."""
+    """Fit on a bounded sample of ``docs``' labelled rows: about ``per_language`` rows of each language.
+
+    Every label is learned, however many there are; a row goes to the driver as the counts of at most BUCKETS buckets.
+    """
     spark = docs.sparkSession
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
     at = (F.xxhash64(F.col("doc_id")).cast("double") / 2.0**64) + 0.5
-    share = functools.reduce(lambda c, kv: c.when(F.col("lang") == kv[0], F.lit(min(1.0, per_language / kv[1]))), counts.items(), F).otherwise(F.lit(0.0))
-    sample = staging.small_batches(known.where(at < share)).mapInArrow(_training_bags, "lang string, fold int, bucket array<int>, n array<int>").toArrow()
+    shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
+    drawn = known.join(F.broadcast(shares), "lang").where(at < F.col("share")).select("doc_id", "text", "lang")
+    sample = staging.small_batches(drawn).mapInArrow(_training_bags, "lang string, fold int, bucket array<int>, n array<int>").toArrow()
     languages = tuple(sorted(set(sample.column("lang").to_pylist())))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
@@ -158,9 +186,9 @@ def train(docs: DataFrame, per_language: int = 800, target_error: float = 0.02)
     bags = [(np.asarray(b.values), np.asarray(n.values)) for b, n in zip(sample.column("bucket"), sample.column("n"))]
     fit, held = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     fit = fit if len(fit) else np.arange(len(bags))
-    emb, out, bias = sgd([bags[i] for i in fit], label[fit], len(languages))
+    emb, out, bias = sgd([bags[i] for i in fit], label[fit], len(languages), ([bags[i] for i in held], label[held]))
     table = emb @ out
-    scores = np.array([(table[bags[i][0]] * bags[i][1][:, None]).sum(0) / bags[i][1].sum() + bias for i in held]).reshape(len(held), len(languages))
+    scores = mean_scores(table, bias, [bags[i] for i in held])
     temperature, threshold = calibrated(scores, label[held], target_error)
     return Model(languages, table, bias, temperature, threshold)
 
@@ -172,8 +200,7 @@ class _Words:
         self.memo, self.sums = Memo(), np.zeros((1024, languages + 1))
 
     def of(self, model: Model, texts: list[str | None]) -> np.ndarray:
-        if len(self.memo) > self.memo.most:
-            self.memo.clear()
+        self.memo.tidy()
         words = [(t or "").split() for t in texts]
         at = [self.memo.numbers(w) for w in words]
         if new := self.memo.new:

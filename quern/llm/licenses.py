@@ -106,8 +106,7 @@ class Index:
                 self.codes = np.concatenate([self.codes, np.zeros(max(need, 2 * len(self.codes)) - len(self.codes), np.int64)])
             self.codes[need - len(new) : need] = [self.code.get(p, 0) if p else -1 for p in map(plain, new)]
         code = self.codes[at]
-        if len(self.memo) > self.memo.most:
-            self.memo.clear()
+        self.memo.tidy()
         return code
 
     def matches(self, words: list[str], least: float) -> list[tuple[int, float, int, int, int]]:

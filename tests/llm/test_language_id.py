@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -73,3 +74,43 @@ def test_rows_stay_or_go_by_themselves(spark):
     more = [(None, "the dog and the cat " * 5, None), (None, "the dog and the cat " * 5, None)]
     docs = spark.createDataFrame(rows + bad + more, "doc_id long, text string, lang string")
     assert sorted(map(tuple, li.keep_identified(docs).collect()), key=repr) == sorted(rows + more, key=repr)
+
+
+def plainly(model, text):
+    """A prediction without memo and arrays: every subword of every word, hashed one by one."""
+    total, n = np.zeros(len(model.languages)), 0
+    for word in (text or "").split():
+        word = "".join(c for c in word if unicodedata.category(c)[0] in "LM").lower()
+        points = [ord(c) for c in f"<{word}>"] if word else []
+        for size in range(2, 5):
+            for at in range(len(points) - size + 1):
+                code = 0
+                for k, p in enumerate(points[at : at + size], 1):
+                    code = (code * 0x9E3779B97F4A7C15 + p + k ^ code >> 29) & (1 << 64) - 1
+                total += model.table[(code * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 48]
+                n += 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_predictions_against_a_plain_restatement(spark, sf, odd):
+    docs = staging.table(spark, sf, "documents")
+    model = li.train(docs.where(~li.held_out()))
+    for df in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        text = {r["doc_id"]: r["text"] for r in df.collect()}
+        for r in li.predicted(df, model).collect():
+            t = text[r["doc_id"]]
+            if t is None or not any(unicodedata.category(c)[0] == "L" for c in t):
+                assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            else:
+                lang, score = plainly(model, t)
+                assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-5
+                assert r["accepted"] == (r["score"] >= model.threshold)
+
+
+def test_every_label_can_be_learned(spark):
+    """More labels than a thousand, each with a word of its own."""
+    docs = spark.range(3300).selectExpr("id AS doc_id", "repeat(concat('q', translate(cast(id % 1100 AS string), '0123456789', 'abcdefghij'), 'z '), 6) AS text", "concat('l', id % 1100) AS lang")
+    model = li.train(docs)
+    assert len(model.languages) == 1100
