@@ -9,8 +9,12 @@ The windows repeat every ``D`` slots. So the driver schedules one period, a tabl
 and every row's place follows from its rank in its source by arithmetic. Ranks are counted over hash ranges, so a
 source with a third of all rows is spread over as many ranges as it needs.
 
+Weights without units given are tempered counts in whole units of a resolution, at least one for every source with rows;
+the resolution grows with the number of sources, so none is too small to have a weight.
+
 The mixture ends at the first slot whose source has no rows left: rows beyond it are not selected, because
-selecting them would leave the target weights. Only a source's last block can be short.
+selecting them would leave the target weights. Only a source's last block can be short. ``repeats`` lets a source be gone
+over several times before it counts as dry: its rows then have a place in each pass.
 
 ``whole`` goes on instead: when a source runs dry, the sources that still have rows are scheduled anew with their units
 among themselves, and so on until all rows have a place. While all sources have rows this is the same schedule under
@@ -131,24 +135,30 @@ def source_counts(docs: DataFrame) -> dict[str, int]:
     return {r["key"]: r["count"] for r in docs.groupBy(key.alias("key")).count().collect()}
 
 
-def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, units: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = (), repeats: dict[str, int] | None = None) -> DataFrame:
     """One row per document: doc_id, source, ``ties``, block (in its source), slot, selected, position (null if not selected).
 
     ``units`` maps sources to weight units; a key is the source with ``=`` before it, or empty for the null source.
-    Without it the weights are tempered counts. Sources are few: they are configured, one weight each.
+    Without it the weights are tempered counts. ``repeats`` maps such keys to the number of passes (1 where it has none);
+    a document of a source with several passes has a row for each. The driver holds a number for each source.
     """
     spark = docs.sparkSession
-    counts = source_counts(docs)
-    units = tempered_units(counts) if units is None else {k: u for k, u in units.items() if u}
+    counts, repeats = source_counts(docs), {k: n for k, n in (repeats or {}).items() if n > 1}
+    units = whole_units(counts) if units is None else {k: u for k, u in units.items() if u}
     plan, period = pfair_period(units), sum(units.values())
     slot_of = {(source, j): slot for source, j, slot in plan}
     ends = []
     for source, u in units.items():
-        blocks = -(-counts.get(source, 0) // block_rows)
+        blocks = -(-counts.get(source, 0) * repeats.get(source, 1) // block_rows)
         ends.append(blocks // u * period + slot_of[source, blocks % u])
     horizon = min(ends, default=0)
     table = spark.createDataFrame([(s, j, slot, units[s]) for s, j, slot in plan], "key string, j long, slot0 long, units long")
-    placed = ranked_in_source(docs, ties=ties).withColumn("block", F.floor(F.col("rank") / block_rows))
+    placed = ranked_in_source(docs, ties=ties)
+    if repeats:
+        passes = F.broadcast(spark.createDataFrame([(k, n, counts.get(k, 0)) for k, n in repeats.items()], "key string, passes int, n long"))
+        placed = placed.join(passes, "key", "left").withColumn("pass", F.explode(F.expr("sequence(0, coalesce(passes, 1) - 1)")))
+        placed = placed.withColumn("rank", F.expr("rank + pass * coalesce(n, 0)"))
+    placed = placed.withColumn("block", F.floor(F.col("rank") / block_rows))
     weights = F.broadcast(spark.createDataFrame([(s, u) for s, u in units.items()], "key string, u long"))
     placed = placed.join(weights, "key", "left").withColumn("j", F.expr("block % u"))
     slot = F.expr(f"(block div units) * {period} + slot0")
@@ -202,27 +212,29 @@ ORACLE = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS key, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS o FROM documents),
 c AS (SELECT key, count(*) AS n FROM d GROUP BY key),
-s AS (SELECT key, n, {RESOLUTION} * pow(n, {EXPONENT}) / (SELECT sum(pow(n, {EXPONENT}) ORDER BY key) FROM c) AS share FROM c),
-u AS (SELECT key, n, CAST(floor(share) AS BIGINT) + CAST(row_number() OVER (ORDER BY floor(share) - share, key)
-        <= {RESOLUTION} - (SELECT CAST(sum(floor(share)) AS BIGINT) FROM s) AS BIGINT) AS units FROM s),
+z AS (SELECT greatest({RESOLUTION}, count(*)) AS units FROM c),
+s AS (SELECT key, n, (SELECT units FROM z) * pow(n, {EXPONENT}) / (SELECT sum(pow(n, {EXPONENT}) ORDER BY key) FROM c) AS share FROM c),
+u AS (SELECT key, n, greatest(1, CAST(floor(share) AS BIGINT) + CAST(row_number() OVER (ORDER BY floor(share) - share, key)
+        <= (SELECT units FROM z) - (SELECT CAST(sum(floor(share)) AS BIGINT) FROM s) AS BIGINT)) AS units FROM s),
+p AS (SELECT CAST(sum(units) AS BIGINT) AS period FROM u),
 k AS (SELECT list(key ORDER BY key) AS keys, list(units ORDER BY key) AS us FROM u WHERE units > 0),
 e(slot, done, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(us, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM k
   UNION ALL
   SELECT slot + 1, list_transform(done, lambda x, i: x + CAST(i = p AS BIGINT)), p FROM (
     SELECT slot, done, list_min(list_transform(range(1, len(us) + 1), lambda i:
-      CASE WHEN done[i] < us[i] AND (done[i] * {RESOLUTION}) // us[i] <= slot + 1
-           THEN (((done[i] + 1) * {RESOLUTION} + us[i] - 1) // us[i]) * 100000 + i END)) % 100000 AS p
-    FROM e, k WHERE slot + 1 < {RESOLUTION})),
+      CASE WHEN done[i] < us[i] AND (done[i] * period) // us[i] <= slot + 1
+           THEN (((done[i] + 1) * period + us[i] - 1) // us[i]) * 1000000 + i END)) % 1000000 AS p
+    FROM e, k, p WHERE slot + 1 < period)),
 plan AS (SELECT keys[pick] AS key, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS j FROM e, k WHERE slot >= 0),
 r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY o, doc_id) - 1 AS rank FROM d),
 b AS (SELECT r.*, rank // {BLOCK_ROWS} AS block, units FROM r JOIN u USING (key)),
-h AS (SELECT min(m // units * {RESOLUTION} + plan.slot) AS horizon
+h AS (SELECT min(m // units * (SELECT period FROM p) + plan.slot) AS horizon
       FROM (SELECT key, units, (n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS} AS m FROM u WHERE units > 0) x
       JOIN plan ON plan.key = x.key AND plan.j = m % units)
-SELECT doc_id, source, block, block // units * {RESOLUTION} + plan.slot AS slot,
-       coalesce(block // units * {RESOLUTION} + plan.slot < horizon, false) AS selected,
-       CASE WHEN block // units * {RESOLUTION} + plan.slot < horizon
-            THEN (block // units * {RESOLUTION} + plan.slot) * {BLOCK_ROWS} + rank % {BLOCK_ROWS} END AS position
-FROM b LEFT JOIN plan ON plan.key = b.key AND plan.j = CASE WHEN units > 0 THEN block % units END CROSS JOIN h
+SELECT doc_id, source, block, block // units * period + plan.slot AS slot,
+       coalesce(block // units * period + plan.slot < horizon, false) AS selected,
+       CASE WHEN block // units * period + plan.slot < horizon
+            THEN (block // units * period + plan.slot) * {BLOCK_ROWS} + rank % {BLOCK_ROWS} END AS position
+FROM b LEFT JOIN plan ON plan.key = b.key AND plan.j = CASE WHEN units > 0 THEN block % units END CROSS JOIN h CROSS JOIN p
 """

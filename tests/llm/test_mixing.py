@@ -94,3 +94,32 @@ def test_rows_are_kept_one_by_one(spark):
     got = mixing.keep_mixed(docs, units={"=a": 1, "=b": 1}, block_rows=1)
     assert sorted(map(tuple, want)) == sorted(map(tuple, got.groupBy("source").count().collect())) == [("a", 30), ("b", 30)]
     assert got.exceptAll(docs).count() == 0
+
+
+def test_weights_for_two_of_two_thousand_sources(spark):
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('s', id % 2000) AS source")
+    for keys in (("s3", "s1999"), ("s0", "s1"), ("s77", "s1500")):
+        got = mixing.mixed(docs, {f"={keys[0]}": 2, f"={keys[1]}": 1}, block_rows=1).where("selected").groupBy("source").count().collect()
+        assert dict(map(tuple, got)) == {keys[0]: 12, keys[1]: 6}
+
+
+def test_tempered_weights_of_many_and_of_small_sources(spark):
+    """More sources than the resolution, one of them with most rows: each has a unit, and its rows have places."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "if(id < 2000, concat('s', id), 'large') AS source")
+    got = mixing.mixed(docs, block_rows=1)
+    assert got.count() == 9000 and got.where("slot IS NULL").count() == 0
+    counts = {f"=s{i}": 1 for i in range(2000)} | {"=large": 7000}
+    assert min(mixing.whole_units(counts).values()) >= 1
+    assert got.where("selected").count() > 1500
+
+
+def test_sources_that_are_repeated(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "if(id < 100, 'small', 'large') AS source")
+    units = {"=small": 1, "=large": 3}
+    once = mixing.mixed(docs, units, block_rows=1).where("selected")
+    often = mixing.mixed(docs, units, block_rows=1, repeats={"=small": 3}).where("selected")
+    for df, small in ((once, 100), (often, 300)):  # the mixture ends before the slot in which small would come again
+        n = {r["source"]: r["count"] for r in df.groupBy("source").count().collect()}
+        assert n["small"] == small and 0 <= n["large"] - 3 * small < 4
+        assert df.select("position").distinct().count() == sum(n.values())
+    assert often.where("source = 'small'").groupBy("doc_id").count().where("count <> 3").count() == 0
