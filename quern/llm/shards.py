@@ -2,8 +2,9 @@
 
 A shard log is a folder: ``data/`` holds immutable Parquet shards, ``manifests/`` one JSON-lines file per version
 that lists the live shards. Arrivals are appended as small shards. Compaction takes a tier, the shards whose sizes
-lie within the same power of ``ratio``, and once it holds ``min_runs`` shards rewrites them as target-sized files
-without a shuffle: whole shards are packed into tasks, each of which streams one output file.
+lie within the same power of ``ratio``, and once it holds ``min_runs`` shards rewrites them as files of at most the target
+size, without a shuffle: the driver, which has the shards' sizes from the manifest, packs whole shards into bins, and each
+bin is one task that streams one output file.
 
 A version is committed by renaming a finished file to its name, which fails if that version exists: readers see
 the old list or the new one, and of two writers one gets ``CommitConflict`` and tries again on the newer version.
@@ -16,6 +17,7 @@ no rows.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
@@ -111,8 +113,8 @@ class ShardLog:
 
     def append_each(self, arrivals: DataFrame, by: str) -> int:
         """One job writes all arrivals, told apart by column ``by``; each is then a commit of its own, in order."""
-        folder = uuid.uuid4().hex
-        arrivals.withColumn("__arrival", F.col(by)).write.partitionBy("__arrival").parquet(f"{self.path}/data/{folder}")
+        folder, name = uuid.uuid4().hex, staging.free_name(arrivals, "__arrival")
+        arrivals.withColumn(name, F.col(by)).write.partitionBy(name).parquet(f"{self.path}/data/{folder}")
         new: dict[str, list[dict]] = {}
         for s in self._written(folder):
             new.setdefault(s["path"].split("/")[1], []).append(s)
@@ -131,12 +133,32 @@ class ShardLog:
                 tiers.setdefault(self.tier(s), []).append(s)
         return next((run for _, run in sorted(tiers.items()) if len(run) >= self.min_runs), [])
 
-    def compact(self) -> int:
-        """Merge ripe tiers until none is left. Each merge reads and writes its shards once, without a shuffle."""
+    def bins(self, run: list[dict]) -> list[list[dict]]:
+        """Shards packed into bins of at most the target size, largest first into the bin that is open."""
+        packed: list[list[dict]] = []
+        room = 0
+        for s in sorted(run, key=lambda s: (-s["bytes"], s["path"])):
+            if not packed or s["bytes"] > room:
+                packed.append([])
+                room = self.target_bytes
+            packed[-1].append(s)
+            room -= s["bytes"]
+        return packed
+
+    def compact(self, tasks_a_job: int = 256) -> int:
+        """Merge ripe tiers until none is left. Each merge reads and writes its shards once, without a shuffle.
+
+        A bin of one shard stays as it is. Jobs are of at most ``tasks_a_job`` bins, each committed by itself, so a job
+        that dies costs no other one's work.
+        """
         while run := self.next_run():
-            folder, files = uuid.uuid4().hex, max(1, round(sum(s["bytes"] for s in run) / self.target_bytes))
-            self._read(run).coalesce(files).write.parquet(f"{self.path}/data/{folder}")
-            self._commit_change(run, self._written(folder))
+            bins = [b for b in self.bins(run) if len(b) > 1]
+            for at in range(0, len(bins), tasks_a_job):
+                part = bins[at : at + tasks_a_job]
+                merged = functools.reduce(DataFrame.unionAll, [self._read(b).coalesce(1) for b in part])
+                folder = uuid.uuid4().hex
+                merged.write.parquet(f"{self.path}/data/{folder}")
+                self._commit_change([s for b in part for s in b], self._written(folder))
         return self.version()
 
     def vacuum(self) -> None:
@@ -165,9 +187,11 @@ ARRIVALS = 8
 
 def op2_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight batches, are compacted, and are read back through the committed manifest."""
-    docs = staging.table(spark, sf_dir, "documents").withColumn("arrival", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % ARRIVALS)
+    docs = staging.table(spark, sf_dir, "documents")
+    arrival = staging.free_name(docs, "arrival")
+    docs = docs.withColumn(arrival, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % ARRIVALS)
     log = ShardLog(spark, staging.new_path(spark, "shards"), docs.schema)
-    log.append_each(docs, "arrival")
+    log.append_each(docs, arrival)
     log.compact()
     log.vacuum()
     return log.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
