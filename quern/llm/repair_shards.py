@@ -2,9 +2,9 @@
 
 Documents are sorted by doc_id over a range partitioning, encoded, ended by id 0 and cut at document ends into blocks of
 about ``BLOCK_TOKENS`` ids, each compressed by itself. Re-Pair replaces frequent adjacent pairs by new symbols, round
-after round: a round counts all pairs, makes rules of the most frequent ones, replaces their occurrences (where two
-overlap the more frequent rule wins, the left one of equals) and drops rules that were hardly used. Ids stay below
-2 ** 16, so a block has room for ``65536 - first_symbol`` rules and every symbol takes two bytes.
+after round, until no pair is frequent or no symbol is free: a round counts all pairs, makes rules of the most frequent
+ones and replaces their occurrences (where two overlap the more frequent rule wins, the left one of equals). Ids stay
+below 2 ** 16, so a block has room for ``65536 - first_symbol`` rules and every symbol takes two bytes.
 
 File format: Parquet, a row for each block.
   part, block            place of the block; blocks are in ascending doc_id order by (part, block)
@@ -70,9 +70,10 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each followed by END_ID, and how many each text has with it."""
         end, get, out = array("H", [END_ID]).tobytes(), self.pieces.__getitem__, []
-        for memo, most in ((self.words, 1_000_000), (self.pieces, 800_000)):
-            if len(memo) > most:
+        for memo in (self.words, self.pieces):
+            if len(memo) > memo.MOST or memo.bytes > memo.MOST_BYTES:
                 memo.clear()
+                memo.bytes = 0
         for text in texts:
             if not text:
                 out.append(end)
@@ -86,79 +87,102 @@ class Encoder:
 
 
 class _Words(dict):
-    """Words of the word pattern."""
+    """Ids of words of the word pattern; emptied between texts' batches, long ones are not kept."""
+
+    MOST, MOST_BYTES, LONGEST = 1_000_000, 48 << 20, 64
 
     def __init__(self, model):
         super().__init__()
+        self.bytes = 0
         self.tokenize = model.tokenize
         self.letters = dict(enumerate(byte_letters()))
 
     def __missing__(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        self[word] = ids = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+        ids = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+        if len(word) <= self.LONGEST:
+            self[word] = ids
+            self.bytes += len(word) + len(ids)
         return ids
 
 
 class _Pieces(dict):
-    """What stands between two spaces, after a space or, marked by a zero character, at a text's start."""
+    """Ids of what stands between two spaces, after a space or, marked by a zero character, at a text's start."""
+
+    MOST, MOST_BYTES, LONGEST = 800_000, 48 << 20, 64
 
     def __init__(self, words: _Words):
         super().__init__()
+        self.bytes = 0
         self.word, self.split = words.__getitem__, regex.compile(WORD).findall
 
     def __missing__(self, piece: str) -> bytes:
         words = self.split(piece[1:] if piece[0:1] == "\0" else " " + piece)
-        self[piece] = ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        if len(piece) <= self.LONGEST:
+            self[piece] = ids
+            self.bytes += len(piece) + len(ids)
         return ids
 
 
-def compress(ids: np.ndarray, first_symbol: int, rounds: int = 4, rules_a_round: int = 4096, least_use: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (pairs of symbols) of one block."""
-    seq, rules, known = ids.astype(np.uint16), [], first_symbol
-    for _ in range(rounds):
-        room = min(rules_a_round, SYMBOLS - known)
-        if len(seq) < 2 or room <= 0:
-            break
+def _hashed(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)
+
+
+def compress(ids: np.ndarray, first_symbol: int, least_use: int = 8, fall: int = 4, pairs_a_round: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (pairs of symbols) of one block.
+
+    Every round counts all pairs exactly and takes those that occur at least a ``fall``-th as often as the most frequent
+    one, ``pairs_a_round`` of the most frequent at least, as long as they occur ``least_use`` times: a rule takes as much room
+    as four symbols. It ends when no pair is used so often, or all symbols are taken.
+    """
+    seq, rules, known, idle = ids.astype(np.uint16), [], first_symbol, []
+    while len(seq) > 1 and known < SYMBOLS:
         pair = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        bins = (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)
-        held = np.bincount(bins, minlength=1 << BINS)
-        often = np.flatnonzero(held >= least_use)
-        if len(often) > room:
-            often = often[np.argpartition(-held[often], room - 1)[:room]]
-        if not len(often):
+        ordered = np.sort(pair)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(first, len(ordered)))
+        often = count >= least_use
+        stands, count = ordered[first[often]], count[often]
+        if idle:  # pairs of which too few are left beside those they overlap with, in this same sequence
+            tried = np.isin(stands, np.concatenate(idle), invert=True)
+            stands, count = stands[tried], count[tried]
+        if not len(stands):
             break
-        slot = np.full(1 << BINS, -1, np.int32)
-        slot[often] = np.arange(len(often))
-        at = np.flatnonzero(slot[bins] >= 0)
-        own = slot[bins[at]]
-        stands = np.zeros(len(often), np.uint32)  # one pair stands for its bin; others in it wait for a later round
-        stands[own[::-1]] = pair[at[::-1]]
+        nth = min(pairs_a_round, len(count))
+        level = max(least_use, min(count.max() / fall, np.partition(count, -nth)[-nth]))
+        stands, count = stands[count >= level], count[count >= level]
+        if len(stands) > SYMBOLS - known:
+            best = np.sort(np.lexsort((stands, -count))[: SYMBOLS - known])
+            stands, count = stands[best], count[best]
+        bins = np.zeros(1 << BINS, bool)
+        bins[_hashed(stands)] = True
+        at = np.flatnonzero(bins[_hashed(pair)])
+        own = np.minimum(np.searchsorted(stands, pair[at]), len(stands) - 1)
         same = stands[own] == pair[at]
         at, own = at[same], own[same]
-        uses = np.bincount(own, minlength=len(often))
-        rank = np.empty(len(often), np.int32)
-        rank[np.lexsort((stands, -uses))] = np.arange(len(often))
-        none = np.int32(1 << 30)
-        r = np.full(len(pair) + 2, none, np.int32)
-        r[at + 1] = rank[own]
-        mine = r[at + 1]
+        rank = np.empty(len(stands), np.int32)
+        rank[np.lexsort((stands, -count))] = np.arange(len(stands))
+        r = np.full(len(pair) + 2, np.int32(1 << 30), np.int32)
+        mine = r[at + 1] = rank[own]
         chosen = (mine <= r[at]) & (mine <= r[at + 2])
         at, own = at[chosen], own[chosen]
-        first = np.concatenate([[True], np.diff(at) != 1])  # a run is of one symbol: every other of its pairs
-        chosen = (at - at[first][np.cumsum(first) - 1]) % 2 == 0
+        start = np.concatenate([[True], np.diff(at) != 1])  # a run is of one symbol: every other of its pairs
+        chosen = (at - at[start][np.cumsum(start) - 1]) % 2 == 0
         at, own = at[chosen], own[chosen]
-        uses = np.bincount(own, minlength=len(often))
+        uses = np.bincount(own, minlength=len(stands))
         useful = np.flatnonzero(uses >= least_use)
         if not len(useful):
-            break
+            idle.append(stands)
+            continue
+        idle = []
         useful = useful[np.argsort(rank[useful])]
-        symbol = np.full(len(often), -1, np.int64)
+        symbol = np.full(len(stands), -1, np.int64)
         symbol[useful] = known + np.arange(len(useful))
         ready = symbol[own] >= 0
         at, own = at[ready], own[ready]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq.copy()
         seq[at] = symbol[own]
         seq = seq[keep]
         rules.append(np.stack([stands[useful] >> np.uint32(16), stands[useful] & np.uint32(0xFFFF)], 1).astype(np.uint16))
@@ -247,7 +271,7 @@ def write(docs: DataFrame, path: str, to: str) -> None:
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
-    ordered.mapInArrow(functools.partial(_write, path=path, schema=schema), ddl).write.parquet(to)
+    staging.small_batches(ordered).mapInArrow(functools.partial(_write, path=path, schema=schema), ddl).write.parquet(to)
 
 
 def _read(batches):

@@ -69,3 +69,35 @@ def test_encoder_is_the_library():
             assert ids[start : start + n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [0], t
             start += n
         assert start == len(ids)
+
+
+@pytest.mark.parametrize("kind", ["skewed", "phrases", "constant"])
+def test_no_frequent_pair_is_left(kind):
+    draw = np.random.default_rng(3)
+    phrase = draw.integers(0, 300, 700)
+    ids = {
+        "skewed": draw.zipf(1.3, 60_000) % 5000,
+        "phrases": np.concatenate([np.concatenate([draw.integers(0, 5000, 50), phrase]) for _ in range(40)]),
+        "constant": np.full(10_001, 7),
+    }[kind].astype(np.uint16)
+    symbols, rules = r.compress(ids, 5000)
+    assert (r.expand(symbols, rules, r.rule_lengths(rules, 5000), 5000) == ids).all()
+    left, n = np.unique(np.stack([symbols[:-1], symbols[1:]]), axis=1, return_counts=True)
+    for a, b in left[:, n >= 8].T:  # what is left occurs so often only by overlapping with itself
+        at = np.flatnonzero((symbols[:-1] == a) & (symbols[1:] == b))
+        uses, last = 0, -2
+        for i in at:
+            if i > last + 1:
+                uses, last = uses + 1, i
+        assert uses < 8
+    if kind != "skewed":
+        assert r.rule_lengths(rules, 5000).max() >= 512  # far more than a fixed number of rounds allows
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(r._Pieces, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(r._Words, "MOST_BYTES", 20_000)
+    e = r.Encoder(r.default_path())
+    for i in range(20):
+        e.encode([" ".join(f"w{i}x{k}" for k in range(300)), "z" * 10_000 + str(i)])
+        assert e.pieces.bytes < 40_000 and e.words.bytes < 40_000 and all(len(w) <= 64 for w in [*e.words, *e.pieces])
