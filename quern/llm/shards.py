@@ -3,8 +3,7 @@
 A shard log is a folder: ``data/`` holds immutable Parquet shards, ``manifests/`` one JSON-lines file per version
 that lists the live shards. Arrivals are appended as small shards. Compaction takes a tier, the shards whose sizes
 lie within the same power of ``ratio``, and once it holds ``min_runs`` shards rewrites them as files of at most the target
-size, without a shuffle: the driver, which has the shards' sizes from the manifest, packs whole shards into bins, and each
-bin is one task that streams one output file.
+size, without a shuffle: whole shards are packed into bins, and each bin is one task that streams one output file.
 
 A version is committed by renaming a finished file to its name, which fails if that version exists: readers see
 the old list or the new one, and of two writers one gets ``CommitConflict`` and tries again on the newer version.
@@ -17,7 +16,7 @@ no rows.
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import json
 import math
 import uuid
@@ -34,6 +33,19 @@ class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for as long as the block lasts."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class ShardLog:
     def __init__(self, spark: SparkSession, path: str, schema, target_bytes: int = 64 * MB, ratio: float = 4.0, min_runs: int = 4):
         self.spark, self.path, self.schema = spark, path, schema
@@ -133,32 +145,32 @@ class ShardLog:
                 tiers.setdefault(self.tier(s), []).append(s)
         return next((run for _, run in sorted(tiers.items()) if len(run) >= self.min_runs), [])
 
-    def bins(self, run: list[dict]) -> list[list[dict]]:
-        """Shards packed into bins of at most the target size, largest first into the bin that is open."""
-        packed: list[list[dict]] = []
-        room = 0
+    def batches(self, run: list[dict], files: int) -> list[list[dict]]:
+        """``run`` cut, largest shards first, into batches that become about ``files`` files each, of two shards at least."""
+        cut: list[list[dict]] = [[]]
+        held = 0
         for s in sorted(run, key=lambda s: (-s["bytes"], s["path"])):
-            if not packed or s["bytes"] > room:
-                packed.append([])
-                room = self.target_bytes
-            packed[-1].append(s)
-            room -= s["bytes"]
-        return packed
-
-    def compact(self, tasks_a_job: int = 256) -> int:
+            if held + s["bytes"] > files * self.target_bytes and len(cut[-1]) > 1:
+                cut.append([])
+                held = 0
+            cut[-1].append(s)
+            held += s["bytes"]
+        return [c for c in cut if len(c) > 1]
+
+    def compact(self, files_a_job: int = 1024) -> int:
         """Merge ripe tiers until none is left. Each merge reads and writes its shards once, without a shuffle.
 
-        A bin of one shard stays as it is. Jobs are of at most ``tasks_a_job`` bins, each committed by itself, so a job
-        that dies costs no other one's work.
+        Spark's reader packs whole files, largest first, into tasks of at most ``maxPartitionBytes``; with the target
+        for that, and nothing else that makes tasks smaller, every task is a bin and writes one file. A job that dies
+        costs no other one's work: each commits what it has merged.
         """
+        bins = {"maxPartitionBytes": str(self.target_bytes), "minPartitionNum": "1", "openCostInBytes": "0"}
         while run := self.next_run():
-            bins = [b for b in self.bins(run) if len(b) > 1]
-            for at in range(0, len(bins), tasks_a_job):
-                part = bins[at : at + tasks_a_job]
-                merged = functools.reduce(DataFrame.unionAll, [self._read(b).coalesce(1) for b in part])
+            for part in self.batches(run, files_a_job):
                 folder = uuid.uuid4().hex
-                merged.write.parquet(f"{self.path}/data/{folder}")
-                self._commit_change([s for b in part for s in b], self._written(folder))
+                with _settings(self.spark, {f"spark.sql.files.{k}": v for k, v in bins.items()}):
+                    self._read(part).write.parquet(f"{self.path}/data/{folder}")
+                self._commit_change(part, self._written(folder))
         return self.version()
 
     def vacuum(self) -> None:

@@ -65,7 +65,7 @@ def test_query_returns_every_row(spark, sf):
 
 def test_files_do_not_miss_the_target(spark):
     """Many small shards and a small target: no output of more than the target by half, whatever the number of cores."""
-    docs = spark.range(64_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text", "id % 16 AS arrival")
+    docs = spark.range(48_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text", "id % 16 AS arrival")
     log = shards.ShardLog(spark, staging.new_path(spark, "log"), docs.schema, target_bytes=1 << 20)
     log.append_each(docs.coalesce(1), "arrival")
     before = [s["bytes"] for s in log.shards()]
@@ -73,16 +73,16 @@ def test_files_do_not_miss_the_target(spark):
     log.compact()
     after = [s["bytes"] for s in log.shards()]
     assert max(after) <= 1.5 * (1 << 20) and len(after) <= 2 * sum(before) / (1 << 20) + 4
-    assert log.read().count() == 64_000 and log.read().select("doc_id").distinct().count() == 64_000
+    assert log.read().count() == 48_000 and log.read().select("doc_id").distinct().count() == 48_000
 
 
-def test_bins_hold_all_shards_once(spark):
+def test_batches_hold_all_shards_once(spark):
     log = shards.ShardLog(spark, "unused", "id long", target_bytes=100)
     run = [{"path": str(i), "bytes": 1 + i * 37 % 49} for i in range(500)]
-    bins = log.bins(run)
-    assert sorted(s["path"] for b in bins for s in b) == sorted(s["path"] for s in run)
-    assert all(sum(s["bytes"] for s in b) <= 100 for b in bins) and sum(sum(s["bytes"] for s in b) < 50 for b in bins) <= 1
-    assert log.bins([]) == []
+    cut = log.batches(run, 3)
+    assert sorted(s["path"] for b in cut for s in b) == sorted(s["path"] for s in run)
+    assert all(sum(s["bytes"] for s in b) <= 300 and len(b) > 1 for b in cut)
+    assert log.batches([], 3) == []
 
 
 def test_columns_named_like_the_arrival_stay(spark):
