@@ -64,3 +64,61 @@ def test_odd_rows(odd, none, spark, sf):
         for name, template in li.TEMPLATES.items():
             if f" {template} " in f" {' '.join(text.split())} ":
                 assert (i, name) in got
+
+
+@pytest.fixture(scope="module")
+def index():
+    return li.Index(tuple(sorted(li.TEMPLATES.items())))
+
+
+def test_templates_among_other_license_words(index):
+    """Each template in 300 contexts of words that templates have too, so that fingerprints compete."""
+    draw, vocabulary = random.Random(7), sorted(index.code)
+    for t, name in enumerate(index.names):
+        words = li.TEMPLATES[name].split()
+        for _ in range(300 if len(words) < 30 else 20):
+            before, after = (draw.choices(vocabulary, k=draw.randrange(12)) for _ in range(2))
+            found = index.matches([*before, *words, *after], li.FLOOR)
+            assert any(m[0] == t and m[1] == 1.0 for m in found), (name, before, after)
+
+
+@pytest.mark.parametrize("times", [20, 100, 3000])
+def test_repeats_have_a_row_each(index, times):
+    for t, name in enumerate(index.names):
+        words = li.TEMPLATES[name].split()
+        if len(words) * times > 20_000:
+            continue
+        found = [m for m in index.matches(words * times, li.LEAST) if m[0] == t]
+        assert len(found) == times and all(m[1] == 1.0 for m in found), name
+        assert [m[3] for m in found] == [i * len(words) for i in range(times)], name
+
+
+def test_against_the_alignment_of_every_template_with_every_text(index):
+    """Edited copies of at most 40 words: whoever passes by the whole table is found, with no fewer matched words."""
+    draw, small = random.Random(11), [(t, n) for t, n in enumerate(index.names) if len(index.templates[t]) <= 40]
+    vocabulary = sorted(index.code)
+    for _ in range(60):
+        t, name = draw.choice(small)
+        words = li.TEMPLATES[name].split()
+        for _ in range(draw.randrange(1 + len(words) // 7)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.randrange(2)] = [draw.choice(["foo", draw.choice(vocabulary)])]
+        text = [*draw.choices(vocabulary, k=5), *words, *draw.choices(vocabulary, k=5)]
+        code = index.numbers(text)
+        found = index.matches(text, li.FLOOR)
+        for u, _ in small:
+            m, a, b = whole_alignment(index.templates[u].tolist(), code[code >= 0].tolist())
+            if m >= li.LEAST * len(index.templates[u]):
+                assert max((f[2] for f in found if f[0] == u), default=0) >= m
+
+
+def test_parts_of_a_license_are_reported_below_the_threshold(spark):
+    half = " ".join(li.TEMPLATES["mit"].split()[:110])
+    templates = spark.createDataFrame([("mine", "one two three four five six seven eight nine ten"), ("none", None)], "name string, text string")
+    docs = spark.createDataFrame([(1, half), (2, "zero one two three four five six eleven"), (3, "one two nothing")], "doc_id long, text string")
+    got = {(r["license"], r["passes"]): r["coverage"] for r in li.scanned(docs).collect() if r["doc_id"] == 1}
+    assert 0.6 < got["mit", False] < 0.85
+    own = li.scanned(docs, templates).collect()
+    assert [(r["doc_id"], r["license"], r["n_matched"], r["passes"]) for r in own] == [(2, "mine", 6, False)]
+    with pytest.raises(ValueError):
+        li.scanned(docs, templates.selectExpr("name", "repeat(coalesce(text, 'x'), 4000000) AS text"))
