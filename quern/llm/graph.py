@@ -22,17 +22,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = staging.staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staging.staged(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = staging.staged(small, "small-star")
+        with staging.scratch() as kept:
+            edges = _round(edges, kept)
         now = _state(edges)
         if now == state:
             break
         state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _round(edges: DataFrame, kept: list) -> DataFrame:
+    """A large-star and a small-star round over ``edges``."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = staging.staged(large, "large-star")
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(least, "u")
+    small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return staging.staged(small, "small-star", kept)

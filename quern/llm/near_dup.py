@@ -354,13 +354,18 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(staging.staged(_rest(placed, classes, texts, percent), "rest-links"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. doc_id must be an integer."""
-    sketches = staging.staged(sketched(docs), "sketches")
+    with staging.scratch() as kept:
+        return _near_duplicates(docs, percent, kept)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, kept: list) -> DataFrame:
+    sketches = staging.staged(sketched(docs), "sketches", kept)
     usable = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = usable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers"))
-    classes = staging.staged(classes, "classes")
-    component = graph.components(links(docs, classes, percent)).withColumnRenamed("node", "rep")
+    classes = staging.staged(classes, "classes", kept)
+    component = staging.staged(graph.components(links(docs, classes, percent)).withColumnRenamed("node", "rep"), "components", kept)
     named = classes.select("digest", "n", "rep").join(component, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     return (
         sketches.select("doc_id", "n", "digest")
@@ -370,10 +375,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that stand for their components, with all their columns."""
     return staging.without(docs, near_duplicates(docs, percent).where(~F.col("kept")))
 
 
 def op9_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(staging.table(spark, sf_dir, "documents"))
+    return near_duplicates(staging.table(spark, sf_dir, "documents"), percent=85)

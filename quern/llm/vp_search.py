@@ -1,14 +1,17 @@
 """Nearest neighbours by vantage-point trees, one a shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of vec_id. A shard's tree takes a vantage point, splits the
+Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of vec_id, vector and input partition, so rows that repeat a
+vec_id, or are equal, spread too. A shard's tree takes a vantage point, splits the
 rest at the median distance from it and goes on in both halves. A query first goes straight down to a leaf for a first
 radius, then visits every part that the triangle inequality does not exclude: the inner part where
 ``d - radius * slack <= median``, the outer one where ``d + radius * slack >= median``. ``slack`` 1 is exact search;
 smaller values prune more and may miss neighbours. The radius is the k-th distance so far, so equal distances at
 the end are seen and smaller vec_ids win.
 
-Queries are grouped in blocks of ``BLOCK_ROWS``; every block meets every shard, and only k rows of each query and shard
-go on. All trees and blocks are Spark rows; nothing passes the driver.
+Queries are grouped in blocks of ``BLOCK_ROWS``. Every block first meets one shard; the distance of a query's k-th row there
+is the radius with which it then meets all other shards, whose trees are so pruned from the start. A tree goes to a task with
+``GROUP_BLOCKS`` blocks at a time, so neither all blocks of a shard nor all shards of a block come together in one task.
+Only k rows of each query and shard go on. All trees and blocks are Spark rows; nothing passes the driver.
 
 Distances are Euclidean in double precision on the original vectors. Defined results: a vector that is null, empty,
 zero, or holds a null or non-finite component takes no part, nor does a row without vec_id; vectors meet only those of
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import staging
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, SLACK, K = 8192, 256, 64, 1.0, 10
+SHARD_ROWS, BLOCK_ROWS, GROUP_BLOCKS, LEAF_ROWS, SLACK, K = 8192, 256, 8, 64, 1.0, 10
 
 
 def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -66,13 +69,17 @@ class Tree:
         self.nodes[at] = (first, last, vantage, median, a, b)
         return at
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids (inf and -1 where there are fewer than k) of each query's nearest rows but its own."""
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, slack: float, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids (inf and -1 where there are fewer than k) of each query's nearest rows but its own.
+
+        ``within`` are distances beyond which rows are not asked for.
+        """
         queries = np.ascontiguousarray(queries, np.float64)
         n = len(queries)
         best = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        within = np.full(n, np.inf) if within is None else within
         seen: dict[int, np.ndarray] = {}
-        stack = [(0, np.arange(n))]  # first straight down
+        stack = [(0, np.flatnonzero(np.isinf(within)))]  # first straight down
         while stack and len(self.ids):
             at, who = stack.pop()
             first, last, vantage, median, a, b = self.nodes[at]
@@ -92,7 +99,7 @@ class Tree:
                 if len(who):
                     self._leaf(at, who, own, queries, best, k)
                 continue
-            d, radius = distances(queries[who], self.vectors[vantage]), best[0][who, -1] * slack
+            d, radius = distances(queries[who], self.vectors[vantage]), np.minimum(best[0][who, -1], within[who]) * slack
             edge = 1e-9 * (1 + median)  # the bounds themselves are rounded
             stack += [(c, who[m]) for c, m in ((b, d + radius >= median - edge), (a, d - radius <= median + edge)) if m.any()]
         found, ids = best
@@ -129,15 +136,15 @@ def _grown(table, leaf_rows):
 
 
 def _blocked(table):
-    pair = np.asarray(table.column("vec_id")), _matrix(table.column("embedding"))
-    return pa.table({"size": table.column("size")[:1], "block": table.column("block")[:1], "queries": pa.array([pickle.dumps(pair)], pa.binary())})
+    packed = np.asarray(table.column("vec_id")), _matrix(table.column("embedding")), np.asarray(table.column("within"))
+    return pa.table({k: table.column(k)[:1] for k in ("size", "block")} | {"queries": pa.array([pickle.dumps(packed)], pa.binary())})
 
 
 def _searched(batches, k: int, slack: float):
     for batch in batches:
         for tree, queries in zip(batch.column("tree"), batch.column("queries")):
-            own, points = pickle.loads(queries.as_py())
-            d, ids = pickle.loads(tree.as_py()).search(own, points, k, slack)
+            own, points, within = pickle.loads(queries.as_py())
+            d, ids = pickle.loads(tree.as_py()).search(own, points, k, slack, within)
             hit = ids >= 0
             query = np.broadcast_to(own[:, None], ids.shape)
             yield pa.RecordBatch.from_arrays([pa.array(query[hit]), pa.array(ids[hit]), pa.array(d[hit])], ["query_id", "vec_id", "score"])
@@ -146,20 +153,37 @@ def _searched(batches, k: int, slack: float):
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """One row per shard: size (of its vectors), shard, tree. ``vectors`` are usable ones."""
     shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = vectors.select(F.size("embedding").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "embedding")
+    share = F.pmod(F.xxhash64("vec_id", "embedding", F.spark_partition_id()), F.lit(shards))
+    dealt = vectors.select(F.size("embedding").alias("size"), share.alias("shard"), "vec_id", "embedding")
     return dealt.groupBy("size", "shard").applyInArrow(lambda rows: _grown(rows, leaf_rows), "size int, shard long, tree binary")
 
 
 def nearest(queries: DataFrame, trees: DataFrame, k: int = K, slack: float = SLACK, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of the index for every query, its own vec_id excepted."""
+    """query_id, rank, vec_id, score: the k nearest rows of the index for every query, its own vec_id excepted.
+
+    ``trees`` should be staged: it is read three times.
+    """
     queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # a vec_id asks once
     blocks = max(1, -(-queries.count() // block_rows))
     dealt = queries.select(F.size("embedding").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "embedding")
-    packed = dealt.groupBy("size", "block").applyInArrow(_blocked, "size int, block long, queries binary")
-    places = trees.select("size", "shard").distinct()
-    asked = packed.join(places, "size")  # each block goes to each shard
-    pairs = asked.repartition("shard", "block").join(trees, ["size", "shard"]).select("tree", "queries")
-    found = pairs.mapInArrow(functools.partial(_searched, k=k, slack=slack), "query_id long, vec_id long, score double")
+    dealt = staging.staged(dealt, "queries")
+    places = trees.select("size", "shard", F.row_number().over(Window.partitionBy("size").orderBy("shard")).alias("place"))  # a row for each shard
+    places = places.join(places.groupBy("size").agg(F.count(F.lit(1)).alias("shards")), "size")
+    first = F.expr("place = 1 + pmod(block, shards)")
+    group = F.expr(f"block div {GROUP_BLOCKS}")
+
+    def met(asked: DataFrame, meets) -> DataFrame:
+        packed = asked.groupBy("size", "block").applyInArrow(_blocked, "size int, block long, queries binary")
+        wanted = packed.select("size", "block").join(places, "size").where(meets).select("size", "block", "shard", group.alias("group"))
+        groups = wanted.select("size", "shard", "group").distinct()
+        dealt_trees = trees.join(groups, ["size", "shard"])
+        pairs = packed.join(wanted, ["size", "block"]).join(dealt_trees, ["size", "shard", "group"]).select("tree", "queries")
+        return pairs.mapInArrow(functools.partial(_searched, k=k, slack=slack), "query_id long, vec_id long, score double")
+
+    near = staging.staged(met(dealt.withColumn("within", F.lit(float("inf"))), first), "near")
+    radius = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("d")).where(F.col("n") == k).select("vec_id", "d")
+    asked = dealt.join(radius, "vec_id", "left").withColumn("within", F.coalesce("d", F.lit(float("inf")))).drop("d")
+    found = near.unionByName(met(asked, ~first))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -107,7 +107,7 @@ def test_group_without_a_text_that_is_near_all(spark, monkeypatch):
     want = brute(docs.collect())
     for block in (512, 7):  # several blocks a bucket too
         monkeypatch.setattr(near_dup, "BLOCK", block)
-        got = near_dup.near_duplicates(docs).collect()
+        got = near_dup.near_duplicates(docs, 85).collect()
         assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == want
 
 
