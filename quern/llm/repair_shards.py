@@ -41,7 +41,7 @@ from quern.llm import staging
 from quern.llm.bpe import byte_letters
 from quern.llm.words import per_worker, text_slices
 
-BLOCK_TOKENS, END_ID, SYMBOLS, BINS = 1 << 20, 0, 1 << 16, 20
+BLOCK_TOKENS, END_ID, SYMBOLS = 1 << 20, 0, 1 << 16
 #: Fixed value: the word pattern of byte-level vocabularies of this family.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNEVEN = re.compile(r" \s")
@@ -125,67 +125,79 @@ class _Pieces(dict):
         return ids
 
 
-def _hashed(pair: np.ndarray) -> np.ndarray:
-    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - BINS)
+def _slots(stands: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The place of each pair in ``stands`` (sorted), -1 for others: by a table of hashes, by search where hashes are shared."""
+    bits = max(12, len(stands).bit_length() + 3)
+    hashed = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    table = np.full(1 << bits, -1, np.int32)
+    table[hashed(stands)] = np.arange(len(stands), dtype=np.int32)
+    slot = table[hashed(pair)]
+    other = np.flatnonzero((slot >= 0) & (stands[slot] != pair))
+    found = np.minimum(np.searchsorted(stands, pair[other]), len(stands) - 1)
+    slot[other] = np.where(stands[found] == pair[other], found, -1)
+    return slot
 
 
 def compress(ids: np.ndarray, first_symbol: int, least_use: int = 8, fall: int = 4, pairs_a_round: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (pairs of symbols) of one block.
 
-    Every round counts all pairs exactly and takes those that occur at least a ``fall``-th as often as the most frequent
-    one, ``pairs_a_round`` of the most frequent at least, as long as they occur ``least_use`` times: a rule takes as much room
-    as four symbols. It ends when no pair is used so often, or all symbols are taken.
+    Every round takes the pairs that occur at least a ``fall``-th as often as the most frequent one, ``pairs_a_round`` of
+    the most frequent at least, as long as they occur ``least_use`` times: a rule takes as much room as four symbols. It
+    ends when no pair is used so often, or all symbols are taken. Pairs only get rarer, but for those of new symbols; so a
+    place whose pair is rare is not looked at again until a neighbour is replaced, and counts are exact all the same.
     """
     seq, rules, known, idle = ids.astype(np.uint16), [], first_symbol, []
-    while len(seq) > 1 and known < SYMBOLS:
-        pair = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
+    live = np.arange(max(0, len(seq) - 1))  # places whose pair may be frequent
+    while known < SYMBOLS and len(live):
+        pair = seq[live].astype(np.uint32) << np.uint32(16) | seq[live + 1]
         ordered = np.sort(pair)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(np.append(first, len(ordered)))
         often = count >= least_use
         stands, count = ordered[first[often]], count[often]
         if idle:  # pairs of which too few are left beside those they overlap with, in this same sequence
-            tried = np.isin(stands, np.concatenate(idle), invert=True)
-            stands, count = stands[tried], count[tried]
-        if not len(stands):
+            count[np.isin(stands, np.concatenate(idle))] = 0
+        if not count.any():
             break
+        own = _slots(stands, pair)
+        live, own = live[own >= 0], own[own >= 0]
         nth = min(pairs_a_round, len(count))
         level = max(least_use, min(count.max() / fall, np.partition(count, -nth)[-nth]))
-        stands, count = stands[count >= level], count[count >= level]
-        if len(stands) > SYMBOLS - known:
-            best = np.sort(np.lexsort((stands, -count))[: SYMBOLS - known])
-            stands, count = stands[best], count[best]
-        bins = np.zeros(1 << BINS, bool)
-        bins[_hashed(stands)] = True
-        at = np.flatnonzero(bins[_hashed(pair)])
-        own = np.minimum(np.searchsorted(stands, pair[at]), len(stands) - 1)
-        same = stands[own] == pair[at]
-        at, own = at[same], own[same]
-        rank = np.empty(len(stands), np.int32)
-        rank[np.lexsort((stands, -count))] = np.arange(len(stands))
-        r = np.full(len(pair) + 2, np.int32(1 << 30), np.int32)
-        mine = r[at + 1] = rank[own]
+        order = np.lexsort((stands, -count))[: SYMBOLS - known]
+        order = order[count[order] >= level]
+        none = np.int32(1 << 30)
+        rank = np.full(len(stands), none, np.int32)
+        rank[order] = np.arange(len(order))
+        mine = rank[own]
+        at, mine = live[mine < none], mine[mine < none]
+        r = np.full(len(seq) + 2, none, np.int32)
+        r[at + 1] = mine
         chosen = (mine <= r[at]) & (mine <= r[at + 2])
-        at, own = at[chosen], own[chosen]
+        at, mine = at[chosen], mine[chosen]
         start = np.concatenate([[True], np.diff(at) != 1])  # a run is of one symbol: every other of its pairs
         chosen = (at - at[start][np.cumsum(start) - 1]) % 2 == 0
-        at, own = at[chosen], own[chosen]
-        uses = np.bincount(own, minlength=len(stands))
-        useful = np.flatnonzero(uses >= least_use)
+        at, mine = at[chosen], mine[chosen]
+        useful = np.flatnonzero(np.bincount(mine, minlength=len(order)) >= least_use)
         if not len(useful):
-            idle.append(stands)
+            idle.append(stands[order])
             continue
         idle = []
-        useful = useful[np.argsort(rank[useful])]
-        symbol = np.full(len(stands), -1, np.int64)
+        symbol = np.full(len(order), -1, np.int64)
         symbol[useful] = known + np.arange(len(useful))
-        ready = symbol[own] >= 0
-        at, own = at[ready], own[ready]
+        ready = symbol[mine] >= 0
+        at, mine = at[ready], mine[ready]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = symbol[own]
+        seq[at] = symbol[mine]
+        place = np.cumsum(keep, dtype=np.int32) - 1
         seq = seq[keep]
-        rules.append(np.stack([stands[useful] >> np.uint32(16), stands[useful] & np.uint32(0xFFFF)], 1).astype(np.uint16))
+        again = np.zeros(len(seq) + 1, bool)
+        again[place[live]] = True
+        again[place[at]] = True
+        again[place[at] - 1] = True  # of the first place, the end, which has no pair
+        live = np.flatnonzero(again[: len(seq) - 1])
+        new = stands[order[useful]]
+        rules.append(np.stack([new >> np.uint32(16), new & np.uint32(0xFFFF)], 1).astype(np.uint16))
         known += len(useful)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
