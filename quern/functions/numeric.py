@@ -67,16 +67,20 @@ def lookup(table: Mapping, key: Column, default: Column | None = None) -> Column
 
 
 def parse_measure(text: Column) -> Column:
-    """struct(amount, unit) of such as ``1/2 cup``; a number without unit is pieces, and what does not parse is one piece."""
-    t = F.trim(text)
-    number, unit = F.regexp_extract(t, r"^([0-9]+(?:[./][0-9]+)?)\s*([a-zA-Z]*)", 1), F.lower(F.regexp_extract(t, r"^([0-9]+(?:[./][0-9]+)?)\s*([a-zA-Z]*)", 2))
+    """struct(amount, unit) of such as ``1/2 cup``: a leading number and all that follows it as the unit, in lower case.
+
+    Without a number all of it is the unit of 1; a number that is none counts as 1 and keeps its unit; nothing is one piece.
+    """
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    pattern = r"^([0-9./]+)\s*(.*)"
+    number, unit = F.regexp_extract(t, pattern, 1), F.regexp_replace(F.regexp_extract(t, pattern, 2), r"^\s+|\s+$", "")
     parts = F.split(number, "/")
-    whole, below = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
-    value = F.when(F.size(parts) == 2, F.try_divide(whole, below)).otherwise(number.try_cast("double"))
-    fine = value.isNotNull()
+    ratio = F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double"))
+    value = F.when(F.size(parts) > 1, ratio).otherwise(number.try_cast("double"))
+    given = F.when(number != "", unit).otherwise(t)
     return F.struct(
-        F.when(fine, value).otherwise(F.lit(1.0)).alias("amount"),
-        F.when(fine & (unit != ""), unit).otherwise(F.lit("piece")).alias("unit"),
+        F.coalesce(value, F.lit(1.0)).alias("amount"),
+        F.when(F.coalesce(given, F.lit("")) == "", F.lit("piece")).otherwise(given).alias("unit"),
     )
 
 

@@ -60,7 +60,7 @@ def raw_quality(title: Column, terms: Column, steps: Column) -> Column:
 
 
 #: How descriptions begin that say nothing.
-STUBS = ("a recipe for", "recipe for", "this is a recipe", "a dish of")
+STUBS = ("a recipe for", "this is a recipe", "delicious recipe", "simple recipe")
 
 
 def is_stub(description: Column, openings: Sequence[str] = STUBS, least: int = 80) -> Column:

@@ -84,10 +84,20 @@ def tier(title: Column, n_ingredients: Column, n_steps: Column, flags: Mapping[s
     return F.when(status == "rejected", 0).when(complete, 1).when((t >= 3) & (n >= 2) & (s >= 1), 2).when(t >= 1, 3).otherwise(0)
 
 
-def tier1_failures(title: Column, description: Column, n_ingredients: Column, n_steps: Column, flags: Mapping[str, Column]) -> Column:
-    """What keeps a document from tier 1, in order."""
-    checks = [(F.length(title) >= 3, "title"), (F.length(description) >= 50, "description"), (n_ingredients >= 2, "ingredients"), (n_steps >= 1, "steps")]
-    return filters.failures(checks + [(c, k) for k, c in flags.items()])
+def tier1_failures(title: Column, description: Column, n_ingredients: Column, n_steps: Column, flags: Mapping[str, Column], status: Column, confidence: Column) -> Column:
+    """What keeps a document from tier 1, in order. ``flags``: has_cuisine_tag, has_course_tag, has_dietary_flags."""
+    checks = [
+        (F.length(F.trim(title)) >= 3, "title"),
+        (n_ingredients >= 2, "ingredients"),
+        (n_steps >= 2, "steps"),
+        (F.length(description) >= 50, "description"),
+        (flags["has_cuisine_tag"], "cuisine_tags"),
+        (flags["has_course_tag"], "course_tags"),
+        (flags["has_dietary_flags"], "dietary_flags"),
+        (status != "raw", "enrichment_status"),
+        (description.isNull() | (confidence >= 0.6), "description.confidence"),
+    ]
+    return filters.failures(checks)
 
 
 def next_status(tier_: Column, status: Column) -> Column:

@@ -46,24 +46,40 @@ def ingredient_overlap(names: Column, desired: Sequence[str], excluded: Sequence
     return F.when(F.size(some) == 0, 0.3).when(bad, F.greatest(F.lit(0.0), hits - 0.5)).otherwise(hits)
 
 
+def _british(word: str) -> str:
+    return numeric.SYNONYMS.get(word.strip().lower(), word.strip().lower())
+
+
 def dietary_compliance(names: Column, flags: Mapping[str, Column], hard: Sequence[str], soft: Sequence[str], spectrum: str | None = None) -> Column:
-    """0 where a hard stop is in the document, or the diet's flag is missing; each soft stop found costs 0.3."""
-    found = lambda label: F.exists(names, lambda n: n.contains(label.lower())) | F.coalesce(flags.get(f"contains_{label.lower()}", F.lit(False)), F.lit(False))
+    """0 where a hard stop is in a name or its ``contains_`` flag is set, or the diet's flag is missing.
+
+    Each soft stop found in a name costs 0.3. Labels and names are compared in British names; the diet is looked for in
+    ``spectrum`` as a substring, vegan first but not in flexitarian.
+    """
+    some = F.transform(names, numeric.synonym)
+    found = lambda label: F.exists(some, lambda n: n.contains(_british(label)))
     stop = F.lit(False)
     for label in hard:
-        stop = stop | found(label)
-    if spectrum in ("vegan", "vegetarian"):
-        stop = stop | ~F.coalesce(flags[f"is_{spectrum}"], F.lit(False))
+        stop = stop | found(label) | F.coalesce(flags.get(f"contains_{label.lower()}", F.lit(False)), F.lit(False))
+    diet = (spectrum or "").lower()
+    if "vegan" in diet and "flexitarian" not in diet:
+        stop = stop | ~F.coalesce(flags["is_vegan"], F.lit(False))
+    elif "vegetarian" in diet:
+        stop = stop | ~F.coalesce(flags["is_vegetarian"], F.lit(False))
     penalty = sum((F.when(found(label), 0.3).otherwise(0.0) for label in soft), F.lit(0.0))
     return F.when(stop, 0.0).otherwise(numeric.clamp(F.lit(1.0) - penalty))
 
 
 def cuisine_affinity(tags: Column, affinities: Sequence[tuple[str, str]], wanted: str | None = None) -> Column:
-    """1 or 0.2 by the query's cuisine; else the mean level of the tags, the first affinity in order that matches a tag."""
+    """1 or 0.2 by the query's cuisine; else the mean level of the tags, the first affinity in order that matches a tag.
+
+    Names match where one holds the other.
+    """
+    either = lambda t, c: t.contains(c.lower()) | F.lit(c.lower()).contains(t)
     if wanted:
-        score = F.when(F.exists(tags, lambda t: t.contains(wanted.lower())), 1.0).otherwise(0.2)
+        score = F.when(F.exists(tags, lambda t: either(t, wanted)), 1.0).otherwise(0.2)
     else:
-        level = lambda t: F.coalesce(*[F.when(t.contains(c.lower()) | F.lit(c.lower()).contains(t), LEVELS[v]) for c, v in affinities], F.lit(None).cast("double"))
+        level = lambda t: F.coalesce(*[F.when(either(t, c), LEVELS.get(v, 0.5)) for c, v in affinities], F.lit(None).cast("double"))
         score = F.coalesce(numeric.mean_of(F.filter(F.transform(tags, level), lambda x: x.isNotNull())), F.lit(0.5))
     return F.when(F.size(tags) == 0, 0.5).otherwise(score)
 
@@ -85,9 +101,32 @@ def time_fit(minutes: Column, limit: int) -> Column:
     return F.when(minutes.isNull(), 0.5).when(minutes <= limit, 0.7 + 0.3 * ratio).otherwise(F.greatest(F.lit(0.0), 1.0 - over * 0.8))
 
 
+# Tags that stand for a flavour.
+FLAVOR_OF_TAG = {
+    "acidic": "sour",
+    "rich": "fatty",
+    "hot": "spicy",
+    "peppery": "spicy",
+    "briny": "salty",
+    "caramelized": "sweet",
+    "charred": "smoky",
+    "grilled": "smoky",
+    "pickled": "fermented",
+    "fermented": "fermented",
+    "savory": "umami",
+    "meaty": "umami",
+}
+#: Tags that are named among the flavours but have no preference, whatever they stand for.
+NO_FLAVOR = ("acidic", "rich")
+
+
 def flavor_affinity(flavors: Column, preferences: Mapping[str, float]) -> Column:
-    """The mean of the preferences (0 to 1) of the flavours; 0.7 and more count 1, 0.2 and less 0."""
+    """The mean of the preferences (0 to 1) of the flavours; 0.7 and more count 1, 0.2 and less 0.
+
+    A tag that is no flavour itself counts as the one it stands for.
+    """
     value = {k: 1.0 if v >= 0.7 else 0.0 if v <= 0.2 else float(v) for k, v in preferences.items()}
+    value |= {tag: value[f] for tag, f in FLAVOR_OF_TAG.items() if f in value and tag not in value and tag not in NO_FLAVOR}
     found = F.filter(F.transform(flavors, lambda t: numeric.lookup(value, t)), lambda x: x.isNotNull())
     return F.coalesce(numeric.mean_of(found), F.lit(0.5))
 
@@ -120,9 +159,21 @@ def client_score(tags: Column, flags: Mapping[str, Column], flavors: Column, dif
         best = F.greatest(best, F.when(hit, CLIENT_LEVELS.get(level, CLIENT_DEFAULT)).otherwise(default))
     cuisine = F.when(F.size(tags) == 0, F.lit(CLIENT_DEFAULT * 35)).otherwise(numeric.half_up(best * 35).cast("double"))
     on = lambda k: F.coalesce(flags.get(k, F.lit(False)), F.lit(False))
-    diet = {"vegan": F.when(on("is_vegan"), 25).otherwise(0), "vegetarian": F.when(on("is_vegetarian") | on("is_vegan"), 25).otherwise(0)}.get(profile["spectrum"], F.lit(25))
-    broken = {"nut": ~on("is_nut_free"), "pork": on("contains_pork"), "halal": on("contains_pork"), "shellfish": on("contains_shellfish"), "dairy": ~on("is_dairy_free"), "gluten": ~on("is_gluten_free")}
-    penalty = sum((F.when(c, 15).otherwise(0) for r in profile["restrictions"] for k, c in broken.items() if k in r.lower()), F.lit(0))
+    off = lambda k: F.coalesce(~flags[k], F.lit(False)) if k in flags else F.lit(False)  # noqa: E731  said to be false
+    almost = lambda c: F.when(c, 25).when(on("vegan_if_substituted"), 12).otherwise(0)
+    diet = {
+        "vegan": almost(on("is_vegan")),
+        "vegetarian": almost(on("is_vegetarian") | on("is_vegan")),
+        "pescatarian": F.when(on("is_pescatarian_ok") | on("is_vegan") | on("is_vegetarian"), 25).otherwise(0),
+    }.get(profile["spectrum"], F.lit(25))
+    broken = [
+        (("nut",), off("is_nut_free")),
+        (("no pork", "pork-free", "halal"), on("contains_pork")),
+        (("shellfish",), on("contains_shellfish")),
+        (("dairy",), off("is_dairy_free")),
+        (("gluten",), off("is_gluten_free")),
+    ]
+    penalty = sum((F.when(c, 15).otherwise(0) for r in profile["restrictions"] for words, c in broken if any(w in r.lower() for w in words)), F.lit(0))
     flavor = F.aggregate(F.transform(flavors, lambda t: numeric.lookup(profile["flavors"], t, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / F.when(F.size(flavors) > 0, F.size(flavors))
     gap = F.coalesce(difficulty, F.lit(1)) - profile["skill"]
     skill = F.when(gap <= 0, 10).when(gap == 1, 6).otherwise(2)

@@ -13,7 +13,7 @@ from quern.functions import numeric
 def similarities(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id") -> DataFrame:
     """id and similarity of every vector with the query; of an id's several vectors the best. One scan, no shuffle but of ids."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id_col, F.round(numeric.cosine(F.col("embedding"), q), 6).alias("similarity"))
+    return vectors.groupBy(id_col).agg(F.max(F.round(numeric.cosine(F.col("embedding"), q), 6)).alias("similarity"))
 
 
 def vector_top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id") -> DataFrame:

@@ -47,7 +47,8 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STUB = "(length(trim(lower(coalesce(text, '')), ' ')) < 80 OR regexp_matches(trim(lower(coalesce(text, '')), ' '), '^(?:" + text.escaped(filters.STUBS) + ")'))"
+STUB = """(length(trim(lower(coalesce(text, '')), ' ')) < 80
+  OR regexp_matches(trim(lower(coalesce(text, '')), ' '), '^(a recipe for|this is a recipe|delicious recipe|simple recipe)'))"""
 GRADED = f"""{CATALOGUE},
 g AS (SELECT d.*, quality, toxic,
       CASE WHEN quality = 1 THEN 'deterministic_enriched' WHEN quality = 0 THEN 'rejected' ELSE 'raw' END AS status,
@@ -163,8 +164,9 @@ r AS (SELECT *, CASE WHEN status = 'rejected' THEN 0
 
 
 def tier_assign(spark, sf_dir):
-    d = tiered(spark, sf_dir)
-    lacks = quality.tier1_failures(F.col("title"), F.col("text"), F.size("terms"), F.size("steps"), {k: F.col(k) for k in FLAG_NAMES[:4]})
+    d = tiered(spark, sf_dir).withColumn("confidence", F.when(F.col("toxic") == 1, 0.4).otherwise(0.6 + F.col("doc_id") % 5 * 0.05))
+    on = {k: F.col(k) for k in FLAG_NAMES}
+    lacks = quality.tier1_failures(F.col("title"), F.col("text"), F.size("terms"), F.size("steps"), on, F.col("status"), F.col("confidence"))
     kind = F.when(F.col("status") == "raw", "open").otherwise("curated")
     return d.select(
         "doc_id", "tier", F.col("promotion_score").cast("int").alias("promotion_score"), quality.next_status(F.col("tier"), F.col("status")).alias("status"),
@@ -174,9 +176,11 @@ def tier_assign(spark, sf_dir):
 
 TIER_ASSIGN = f"""WITH {TIERED} SELECT doc_id, CAST(tier AS INT) AS tier, CAST(promotion_score AS INT) AS promotion_score,
   CASE WHEN tier = 1 THEN 'validated' ELSE status END AS status, CASE tier WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.65 WHEN 3 THEN 0.35 ELSE 0.1 END AS tier_quality,
-  array_to_string(list_filter([CASE WHEN NOT length(title) >= 3 THEN 'title' END, CASE WHEN NOT coalesce(length(text) >= 50, false) THEN 'description' END,
-    CASE WHEN n < 2 THEN 'ingredients' END, CASE WHEN k < 1 THEN 'steps' END,
-    {', '.join(f"CASE WHEN NOT coalesce({k}, false) THEN '{k}' END" for k in FLAG_NAMES[:4])}], lambda x: x IS NOT NULL), ',') AS tier1_failures,
+  array_to_string(list_filter([CASE WHEN NOT length(trim(title, ' ')) >= 3 THEN 'title' END, CASE WHEN n < 2 THEN 'ingredients' END,
+    CASE WHEN k < 2 THEN 'steps' END, CASE WHEN NOT coalesce(length(text) >= 50, false) THEN 'description' END,
+    CASE WHEN lang IS NULL THEN 'cuisine_tags' END, CASE WHEN source IS NULL THEN 'course_tags' END,
+    CASE WHEN NOT coalesce(quality = 1, false) THEN 'dietary_flags' END, CASE WHEN quality IS NULL THEN 'enrichment_status' END,
+    CASE WHEN text IS NOT NULL AND toxic = 1 THEN 'description.confidence' END], lambda x: x IS NOT NULL), ',') AS tier1_failures,
   CASE WHEN status = 'raw' THEN 'open' ELSE 'curated' END AS source_type FROM r"""
 
 
@@ -353,9 +357,9 @@ _UNITS = [*numeric.UNIT_GRAMS, "sack", ""]
 PARSE_QUANTITY = f"""WITH q AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'to taste' ELSE
     (CASE WHEN p_partkey % 3 = 0 THEN p_size || '/' || p_partkey % 4 ELSE CAST(p_size AS VARCHAR) END) || ' ' || [{', '.join(f"'{u}'" for u in _UNITS)}][p_partkey % 13 + 1] END AS measure,
     [{', '.join("'" + n + "'" for n in numeric.BRITISH_TO_AMERICAN.values())}][p_partkey % {len(numeric.BRITISH_TO_AMERICAN)} + 1] AS name FROM part),
-r AS (SELECT *, regexp_extract(trim(measure, ' '), '^([0-9]+(?:[./][0-9]+)?)[ ]*([a-zA-Z]*)', 1) AS num, lower(regexp_extract(trim(measure, ' '), '^([0-9]+(?:[./][0-9]+)?)[ ]*([a-zA-Z]*)', 2)) AS u FROM q),
+r AS (SELECT *, regexp_extract(trim(measure, ' '), '^([0-9./]+)[ ]*(.*)', 1) AS num, CASE WHEN regexp_matches(trim(measure, ' '), '^[0-9./]') THEN lower(regexp_extract(trim(measure, ' '), '^([0-9./]+)[ ]*(.*)', 2)) ELSE lower(trim(measure, ' ')) END AS u FROM q),
 v AS (SELECT *, CASE WHEN contains(num, '/') THEN TRY_CAST(string_split(num, '/')[1] AS DOUBLE) / nullif(TRY_CAST(string_split(num, '/')[2] AS DOUBLE), 0) ELSE TRY_CAST(num AS DOUBLE) END AS value FROM r),
-w AS (SELECT *, coalesce(value, 1) AS amount, CASE WHEN value IS NOT NULL AND u <> '' THEN u ELSE 'piece' END AS unit FROM v)
+w AS (SELECT *, coalesce(value, 1) AS amount, CASE WHEN u <> '' THEN u ELSE 'piece' END AS unit FROM v)
 SELECT p_partkey, measure, round(amount, 6) AS amount, unit,
   round(amount * CASE unit {' '.join(f"WHEN '{k}' THEN {g}" for k, g in numeric.UNIT_GRAMS.items())} ELSE 100 END, 4) AS grams,
   CASE name {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in numeric.SYNONYMS.items())} ELSE name END AS synonym FROM w"""

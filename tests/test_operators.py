@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import numeric, text
-from quern.operators import classify, filters, flags, ranking, retrieval, sampling
+from quern.operators import classify, filters, flags, quality, ranking, retrieval, sampling
 from quern.sources import tables
 
 
@@ -14,9 +14,13 @@ def words(*items):
     return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
 
 
-@pytest.mark.parametrize("measure,amount,unit", [("1/2 cup", 0.5, "cup"), ("3", 3.0, "piece"), ("200g", 200.0, "g"), ("to taste", 1.0, "piece"), ("1/0 cup", 1.0, "piece"), ("2.5 TBSP", 2.5, "tbsp")])
+@pytest.mark.parametrize(
+    "measure,amount,unit",
+    [("1/2 cup", 0.5, "cup"), ("3", 3.0, "piece"), ("200g", 200.0, "g"), (" To taste ", 1.0, "to taste"), ("1/0 cup", 1.0, "cup"), ("2.5 TBSP", 2.5, "tbsp")]
+    + [("", 1.0, "piece"), (None, 1.0, "piece"), ("1/2/4 big cups, sifted", 0.5, "big cups, sifted"), ("1.2.3 l", 1.0, "l"), ("/ x", 1.0, "x"), (".5kg", 0.5, "kg")],
+)
 def test_measures(spark, measure, amount, unit):
-    assert tuple(one(spark, numeric.parse_measure(F.lit(measure)))[0]) == (amount, unit)
+    assert tuple(one(spark, numeric.parse_measure(F.lit(measure).cast("string")))[0]) == (amount, unit)
 
 
 def test_vectors(spark):
@@ -98,3 +102,57 @@ def test_changes(spark):
     assert [r.k for r in tables.delete(old, F.col("v") == "a").collect()] == [2]
     assert tables.select(old, ["v"], {"k": 2}).first().v == "b"
     assert tables.combined({"x": old, "y": old}, "combined").count() == 4 and tables.combined({"x": old, "y": old}, "?").count() == 2
+
+
+def test_ranking_rules_by_literal_cases(spark):
+    """Cases worked out by hand from the rules of each factor."""
+    names = words("aubergine", "streaky bacon", "rice")
+    none = F.lit(None).cast("boolean")
+    compliance = lambda flags_, hard, soft, diet: ranking.dietary_compliance(names, flags_, hard, soft, diet)
+    r = one(
+        spark,
+        compliance({}, ["eggplant"], [], None),  # the American name of what is there
+        compliance({"contains_pork": F.lit(True)}, ["pork"], [], None),
+        compliance({"contains_pork": F.lit(True)}, [], ["pork"], None),  # soft stops look at names only
+        compliance({}, [], ["rice", "milk"], None),
+        compliance({"is_vegan": F.lit(False)}, [], [], "Mostly vegan"),
+        compliance({"is_vegan": F.lit(False)}, [], [], "flexitarian, some vegan days"),
+        compliance({"is_vegetarian": F.lit(True)}, [], [], "lacto-vegetarian"),
+        ranking.cuisine_affinity(words("thai"), [], "northern thai"),
+        ranking.cuisine_affinity(words("northern thai"), [], "Thai"),
+        ranking.cuisine_affinity(words("greek"), [], "Thai"),
+        ranking.flavor_affinity(words("hot", "charred"), {"spicy": 0.9, "smoky": 0.4}),
+        ranking.flavor_affinity(words("acidic", "rich"), {"sour": 0.9, "fatty": 0.9}),
+    )
+    assert list(r) == [0.0, 0.0, 1.0, pytest.approx(0.7), 0.0, 1.0, 1.0, 1.0, 1.0, 0.2, pytest.approx(0.7), 0.5]
+    profile = {"affinities": [], "spectrum": "pescatarian", "restrictions": [], "flavors": {}, "skill": 5}
+    client = lambda flags_, **more: ranking.client_score(words(), flags_, words(), F.lit(1), words(), profile | more, "summer")
+    r = one(
+        spark,
+        client({}),  # 12 of the cuisine, 10 of the skill, 5 of the season
+        client({"is_pescatarian_ok": F.lit(True)}),
+        client({"vegan_if_substituted": F.lit(True)}, spectrum="vegan"),
+        client({"vegan_if_substituted": F.lit(True)}, spectrum="vegetarian"),
+        client({"is_nut_free": none}, spectrum="omnivore", restrictions=["nut allergy"]),
+        client({"is_nut_free": F.lit(False)}, spectrum="omnivore", restrictions=["nut allergy"]),
+        client({"contains_pork": F.lit(True)}, spectrum="omnivore", restrictions=["loves pork belly"]),
+        client({"contains_pork": F.lit(True)}, spectrum="omnivore", restrictions=["no pork", "Halal"]),
+    )
+    assert list(r) == [27, 52, 39, 39, 52, 37, 52, 27]
+
+
+@pytest.mark.parametrize("opening,stub", [("A recipe for", True), ("This is a recipe", True), ("Delicious recipe", True), ("Simple recipe", True), ("A dish of", False), ("Recipe for", False)])
+def test_stub_openings(spark, opening, stub):
+    assert one(spark, filters.is_stub(F.lit(opening + " x" * 60)))[0] is stub
+
+
+def test_what_keeps_a_document_from_tier_1(spark):
+    on = {"has_cuisine_tag": F.lit(True), "has_course_tag": F.lit(True), "has_dietary_flags": F.lit(True)}
+    lacks = lambda title, text_, n, k, flags_, status, c: quality.tier1_failures(F.lit(title), F.lit(text_), F.lit(n), F.lit(k), flags_, F.lit(status), F.lit(c))
+    r = one(spark, lacks("Soup", "x" * 50, 2, 2, on, "validated", 0.6), lacks("  So ", "x" * 49, 1, 1, dict.fromkeys(on, F.lit(False)), "raw", 0.59))
+    assert r[0] == [] and r[1] == ["title", "ingredients", "steps", "description", "cuisine_tags", "course_tags", "dietary_flags", "enrichment_status", "description.confidence"]
+
+
+def test_an_id_with_two_vectors_is_found_once(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    assert [(r.vec_id, r.similarity) for r in retrieval.vector_top_k(vectors, [1.0, 0.0], 2).collect()] == [(1, 1.0), (2, 0.0)]
