@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import activity, catalogue, retrieval, selection
+from quern.plans import activity, catalogue, fusion, retrieval, selection
 
-MODULES = (retrieval, catalogue, selection, activity)
+MODULES = (retrieval, catalogue, selection, activity, fusion)
 
 
 def queries() -> dict:

@@ -56,7 +56,7 @@ PROFILE = (
 QUERY = (
     "user_id long, query_text string, complexity double, eat_in boolean, desired_cuisine string, desired_ingredients array<string>, excluded_ingredients array<string>, mood string, "
     "minutes int, difficulty string, occasion string, goal string, cuisine_tags array<string>, attributes array<struct<attribute:string, value:string, centrality:double>>, "
-    "relationships array<struct<kind:string, source:string, target:string, confidence:double>>, conflicts array<struct<kind:string, strategy:string, description:string, warning:string>>, "
+    "relationships array<struct<kind:string, source:string, target:string, confidence:double>>, conflicts array<struct<kind:string, strategy:string, description:string, warning:string, query_value:string>>, inferred_mood string, "
     "time_of_day string, day_of_week string, energy string, asked_at timestamp"
 )
 
