@@ -25,6 +25,8 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("rank_in_group", rank).where(F.col("rank_in_group") <= n)
 
 
-def last_writer(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Union-distinct by key in which a row of ``new`` replaces that of ``old``."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def last_writer(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
+    """Union-distinct by key in which a row of ``new`` replaces that of ``old``; of several new ones the last by ``order`` does."""
+    from quern.sources.tables import upsert
+
+    return upsert(old, new, key, order)

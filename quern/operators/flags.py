@@ -9,59 +9,107 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 
-#: Small default lists; callers pass their own.
+# Words of each category. A caller may pass lists of its own.
 CATEGORIES = {
-    "meat": ["beef", "chicken", "lamb", "turkey", "bacon", "ham"],
-    "pork": ["pork", "bacon", "ham", "prosciutto"],
-    "fish": ["fish", "salmon", "tuna", "anchovy"],
-    "shellfish": ["shrimp", "prawn", "crab", "lobster"],
-    "dairy": ["milk", "butter", "cheese", "cream"],
-    "egg": ["egg", "mayonnaise"],
-    "gluten": ["flour", "bread", "pasta", "soy sauce"],
-    "nut": ["almond", "walnut", "peanut", "cashew"],
-    "alcohol": ["wine", "beer", "rum"],
-}
-
-
-def _set(hit) -> dict[str, Column]:
-    meat, fish, shell = hit("meat") | hit("pork"), hit("fish"), hit("shellfish")
-    vegetarian = ~(meat | fish | shell)
+    "meat": (
+        "beef", "steak", "veal", "lamb", "mutton", "pork", "bacon", "ham", "prosciutto", "pancetta", "salami", "chorizo", "sausage", "pepperoni", "mince", "minced", "ground beef", "ground pork", "ground lamb",
+        "venison", "rabbit", "duck", "goose", "turkey", "chicken", "poultry", "quail", "pheasant", "partridge", "pigeon", "liver", "kidney", "offal", "tripe", "tongue", "oxtail", "brisket", "rib", "loin",
+        "gammon", "bratwurst", "frankfurter", "hot dog", "mortadella", "bresaola", "coppa", "nduja", "sobrassada", "boudin", "rillettes", "paté", "pate", "terrine", "suet", "dripping", "lard",
+        "bone marrow", "stock bone", "gelatin", "gelatine",
+    ),
+    "poultry": ("chicken", "turkey", "duck", "goose", "quail", "pheasant", "partridge", "pigeon", "guinea fowl", "cornish hen", "capon"),
+    "fish": (
+        "fish", "salmon", "tuna", "cod", "haddock", "mackerel", "sardine", "anchovy", "anchovies", "herring", "trout", "sea bass", "sole", "plaice", "halibut", "swordfish", "monkfish", "snapper", "pike",
+        "perch", "catfish", "tilapia", "pollock", "whitebait", "sprat", "eel", "bream", "dory", "grouper", "mahi", "wahoo", "barramundi", "fish sauce", "fish stock", "bonito", "dashi", "worcestershire",
+    ),
+    "shellfish": (
+        "shrimp", "prawn", "king prawn", "crab", "lobster", "crayfish", "mussel", "clam", "oyster", "scallop", "squid", "calamari", "octopus", "cockle", "whelk", "langoustine", "crawfish", "abalone",
+        "sea urchin", "cuttlefish",
+    ),
+    "pork": (
+        "pork", "bacon", "ham", "prosciutto", "pancetta", "salami", "chorizo", "pepperoni", "sausage", "lard", "gammon", "bratwurst", "frankfurter", "hot dog", "mortadella", "coppa", "nduja", "sobrassada",
+        "boudin", "rillettes", "crackling", "chicharron",
+    ),
+    "alcohol": (
+        "wine", "red wine", "white wine", "beer", "ale", "lager", "stout", "brandy", "cognac", "rum", "vodka", "whisky", "whiskey", "gin", "tequila", "mezcal", "liqueur", "amaretto", "kahlua", "baileys",
+        "champagne", "prosecco", "cava", "sherry", "port", "marsala", "madeira", "vermouth", "sake", "mirin", "kirsch", "grappa", "calvados", "armagnac", "absinthe", "ouzo", "raki", "sambuca", "limoncello",
+        "grand marnier", "cointreau", "curaçao", "curacao",
+    ),
+    "dairy": (
+        "milk", "cream", "butter", "cheese", "yoghurt", "yogurt", "curd", "whey", "casein", "ghee", "mascarpone", "ricotta", "mozzarella", "parmesan", "parmigiano", "cheddar", "gruyère", "gruyere", "brie",
+        "camembert", "gouda", "emmental", "feta", "halloumi", "paneer", "cottage cheese", "cream cheese", "sour cream", "crème fraîche", "creme fraiche", "double cream", "single cream", "heavy cream",
+        "light cream", "clotted cream", "buttermilk", "condensed milk", "evaporated milk", "full-fat milk", "semi-skimmed milk", "skimmed milk", "whole milk", "2% milk", "skim milk", "ice cream", "custard",
+        "bechamel", "béchamel", "quark", "labneh", "kefir", "fromage",
+    ),
+    "egg": ("egg", "eggs", "egg yolk", "egg white", "meringue", "mayonnaise", "aioli", "hollandaise", "quiche", "frittata", "omelette", "omelet"),
+    "honey": ("honey",),
+    "gluten": (
+        "wheat", "flour", "bread", "pasta", "noodle", "spaghetti", "penne", "fusilli", "lasagne", "lasagna", "macaroni", "fettuccine", "linguine", "tagliatelle", "ravioli", "tortellini", "gnocchi", "couscous",
+        "bulgur", "semolina", "seitan", "barley", "rye", "spelt", "kamut", "triticale", "breadcrumb", "crouton", "panko", "pita", "pitta", "naan", "tortilla", "wrap", "baguette", "ciabatta", "focaccia",
+        "croissant", "pastry", "puff pastry", "filo", "phyllo", "plain flour", "self-raising flour", "strong flour", "all-purpose flour", "bread flour", "cake flour", "wholemeal flour", "whole wheat flour",
+        "soy sauce", "malt", "malt vinegar", "beer", "ale", "lager", "stout",
+    ),
+    "swappable": (
+        "flour", "bread", "pasta", "noodle", "spaghetti", "penne", "fusilli", "lasagne", "lasagna", "macaroni", "fettuccine", "linguine", "tagliatelle", "couscous", "breadcrumb", "crouton", "panko", "tortilla",
+        "wrap", "soy sauce", "plain flour", "self-raising flour", "all-purpose flour", "bread flour", "cake flour", "wholemeal flour", "whole wheat flour",
+    ),
+    "nut": (
+        "almond", "walnut", "cashew", "pistachio", "hazelnut", "pecan", "macadamia", "brazil nut", "pine nut", "chestnut", "peanut", "nut butter", "almond butter", "peanut butter", "cashew butter",
+        "almond milk", "almond flour", "ground almond", "marzipan", "frangipane", "praline", "nougat", "gianduja", "nutella", "tahini",
+    ),
+}
+
+
+def _set(hit, swappable: Column) -> dict[str, Column]:
+    """The twelve flags. ``swappable``: whether all that has gluten can be had without."""
+    flesh, sea = hit("meat") | hit("poultry"), hit("fish") | hit("shellfish")
+    vegetarian = ~(flesh | sea)
+    vegan = vegetarian & ~hit("dairy") & ~hit("egg") & ~hit("honey")
     return {
         "is_vegetarian": vegetarian,
-        "is_vegan": vegetarian & ~hit("dairy") & ~hit("egg"),
-        "is_pescatarian_ok": ~meat,
+        "is_vegan": vegan,
+        "is_pescatarian_ok": ~flesh,
         "is_dairy_free": ~hit("dairy"),
         "is_gluten_free": ~hit("gluten"),
         "is_nut_free": ~hit("nut"),
         "is_halal_ok": ~hit("pork") & ~hit("alcohol"),
         "contains_pork": hit("pork"),
-        "contains_shellfish": shell,
+        "contains_shellfish": hit("shellfish"),
         "contains_alcohol": hit("alcohol"),
+        "vegan_if_substituted": vegetarian & ~vegan,
+        "gluten_free_if_substituted": hit("gluten") & swappable,
     }
 
 
+NEGATIVE = ("contains_pork", "contains_shellfish", "contains_alcohol")
+
+
 def _struct(flags: Mapping[str, Column]) -> Column:
     return F.struct(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
 
 
+def _by_term(terms: Column, hits, categories: Mapping[str, Sequence[str]]) -> Column:
+    some = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    swappable = F.forall(some, lambda x: ~F.coalesce(hits(x, categories["gluten"]), F.lit(False)) | hits(x, categories["swappable"]))
+    return _struct(_set(lambda k: F.exists(some, lambda x: hits(x, categories[k])), swappable))
+
+
 def by_word(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
     """A term hits a category by whole word. Without terms all positive flags are true."""
-    some = F.coalesce(terms, F.array().cast("array<string>"))
-    return _struct(_set(lambda k: F.exists(some, lambda x: text.word_any(F.lower(x), categories[k]))))
+    return _by_term(terms, text.word_any, categories)
+
+
+def by_substring(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
+    """A term hits a category by plain substring, so that ``nut`` is in ``nutmeg``."""
+    return _by_term(terms, text.contains_any, categories)
 
 
 def mixed(terms: Column, title: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
     """Single words by boundary and phrases as substrings in all text; positive flags need some term."""
     all_text = F.lower(F.concat_ws(" ", F.array_join(terms, " "), title))
-    flags = _set(lambda k: text.phrase_any(all_text, categories[k]))
+    hit = lambda k: text.phrase_any(all_text, categories[k])
     some = F.coalesce(F.size(terms) > 0, F.lit(False))
-    return _struct({k: c if k.startswith("contains") else c & some for k, c in flags.items()})
-
-
-def by_substring(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
-    """A term hits a category by plain substring, so that ``nut`` is in ``nutmeg``."""
-    some = F.coalesce(terms, F.array().cast("array<string>"))
-    return _struct(_set(lambda k: F.exists(some, lambda x: text.contains_any(F.lower(x), categories[k]))))
+    return _struct({k: c if k in NEGATIVE else c & some for k, c in _set(hit, hit("swappable")).items()})
 
 
 def tags(flags: Column, names: Mapping[str, str]) -> Column:

@@ -140,7 +140,7 @@ def _ranked(spark, sf_dir):
 
 
 _RANKED = f"""{CATALOGUE}, b AS (SELECT *, CASE WHEN lang IS NULL THEN [] ELSE [lang] END AS tags, CASE WHEN n_chars % 7 > 0 THEN CAST(n_chars % 5 + 1 AS INT) END AS difficulty,
-  len(list_filter(terms, lambda x: {' OR '.join(f"contains(x, '{w}')" for k in ('meat', 'pork', 'fish', 'shellfish') for w in flags.CATEGORIES[k])})) = 0 AS is_vegetarian,
+  len(list_filter(terms, lambda x: {' OR '.join(f"contains(x, '{w}')" for k in ('meat', 'poultry', 'fish', 'shellfish') for w in flags.CATEGORIES[k])})) = 0 AS is_vegetarian,
   len(list_filter(terms, lambda x: {' OR '.join(f"contains(x, '{w}')" for w in flags.CATEGORIES['nut'])})) = 0 AS is_nut_free FROM d)"""
 
 

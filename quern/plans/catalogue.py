@@ -305,24 +305,38 @@ SELECT p_partkey, {_case([(_has('name', w), f"'{k}'") for k, w in FIRST_RULES],
 TAGS = {"is_vegan": "vegan", "is_vegetarian": "vegetarian", "is_dairy_free": "dairy-free", "is_nut_free": "nut-free"}
 
 
+# Terms that reach every category: words of the lists, some with more letters around them, and words of none.
+FLAG_WORDS = [*dict.fromkeys(w for words in flags.CATEGORIES.values() for w in words), "rice", "carrot", "nutmeg", "hamlet", "ginger", "portobello", "eggplant", "butternut"]
+
+
 def _flag_query(make):
     def query(spark, sf_dir):
-        d = catalogue(spark, sf_dir).withColumn("f", make(F.col("terms"), F.col("title")))
+        words = F.array(*[F.lit(w) for w in FLAG_WORDS])
+        word = lambda by, off=0: F.element_at(words, ((F.col("doc_id") * by + off) % len(FLAG_WORDS) + 1).cast("int"))
+        none = F.array().cast("array<string>")
+        terms = F.when(F.col("doc_id") % 10 == 0, none).when(F.col("doc_id") % 3 == 0, F.array(word(1), F.lit("rice"))).otherwise(F.array(word(1), F.concat(F.lit("fresh "), word(7, 3)), F.concat(F.lit("xx"), word(13, 5))))
+        d = table(spark, sf_dir, "documents").select("doc_id", terms.alias("terms"), F.concat(word(5, 1), F.lit(" Bowl")).alias("title"))
+        d = d.withColumn("f", make(F.col("terms"), F.col("title")))
         return d.select("doc_id", "f.*", F.array_join(flags.tags(F.col("f"), TAGS), ",").alias("tags"))
 
     return query
 
 
-def _flag_sql(hit, positive: str = "true") -> str:
+def _flag_sql(hit, positive: str = "true", swappable: str | None = None) -> str:
     h = {k: f"({hit(v)})" for k, v in flags.CATEGORIES.items()}
-    meat = f"({h['meat']} OR {h['pork']})"
-    vegetarian = f"NOT ({meat} OR {h['fish']} OR {h['shellfish']})"
+    flesh = f"({h['meat']} OR {h['poultry']})"
+    vegetarian = f"NOT ({flesh} OR {h['fish']} OR {h['shellfish']})"
+    vegan = f"({vegetarian} AND NOT {h['dairy']} AND NOT {h['egg']} AND NOT {h['honey']})"
     out = {
-        "is_vegetarian": vegetarian, "is_vegan": f"{vegetarian} AND NOT {h['dairy']} AND NOT {h['egg']}", "is_pescatarian_ok": f"NOT {meat}", "is_dairy_free": f"NOT {h['dairy']}",
-        "is_gluten_free": f"NOT {h['gluten']}", "is_nut_free": f"NOT {h['nut']}", "is_halal_ok": f"NOT {h['pork']} AND NOT {h['alcohol']}",
+        "is_vegetarian": vegetarian, "is_vegan": vegan, "is_pescatarian_ok": f"NOT {flesh}", "is_dairy_free": f"NOT {h['dairy']}", "is_gluten_free": f"NOT {h['gluten']}", "is_nut_free": f"NOT {h['nut']}",
+        "is_halal_ok": f"NOT {h['pork']} AND NOT {h['alcohol']}", "vegan_if_substituted": f"{vegetarian} AND NOT {vegan}", "gluten_free_if_substituted": f"{h['gluten']} AND {swappable or h['swappable']}",
     }
     out = {k: f"({positive} AND {v})" for k, v in out.items()} | {"contains_pork": h["pork"], "contains_shellfish": h["shellfish"], "contains_alcohol": h["alcohol"]}
-    return f"""WITH {CATALOGUE}, b AS (SELECT *, lower(array_to_string(terms, ' ') || ' ' || title) AS all_text FROM d),
+    words = "[" + ", ".join(f"'{w}'" for w in FLAG_WORDS) + "]"
+    word = lambda by, off=0: f"w[(doc_id * {by} + {off}) % {len(FLAG_WORDS)} + 1]"
+    return f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN [] WHEN doc_id % 3 = 0 THEN [{word(1)}, 'rice'] ELSE [{word(1)}, 'fresh ' || {word(7, 3)}, 'xx' || {word(13, 5)}] END AS terms,
+  {word(5, 1)} || ' Bowl' AS title FROM documents, (SELECT {words} AS w)),
+b AS (SELECT *, lower(array_to_string(terms, ' ') || ' ' || title) AS all_text FROM d),
 f AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in out.items())} FROM b)
 SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {k} THEN '{t}' END" for k, t in TAGS.items())}], lambda x: x IS NOT NULL), ',') AS tags FROM f"""
 
@@ -334,9 +348,15 @@ def _word_sql(x: str, words: list[str]) -> str:
     return f"regexp_matches({x}, '(^|{_EDGE})(?:{text.escaped(words)})($|{_EDGE})')"
 
 
-FLAGS_WORD = _flag_sql(lambda w: f"len(list_filter(terms, lambda x: {_word_sql('x', w)})) > 0")
-FLAGS_SUBSTRING = _flag_sql(lambda w: f"len(list_filter(terms, lambda x: {_has('x', w)})) > 0")
-FLAGS_MIXED = _flag_sql(lambda w: " OR ".join([_word_sql("all_text", [x for x in w if " " not in x]), *[f"contains(all_text, '{x}')" for x in w if " " in x]]), "len(terms) > 0")
+def _terms_sql(has) -> str:
+    c = flags.CATEGORIES
+    every = f"len(list_filter(terms, lambda x: {has('x', c['gluten'])} AND NOT {has('x', c['swappable'])})) = 0"
+    return _flag_sql(lambda w: f"len(list_filter(terms, lambda x: {has('x', w)})) > 0", swappable=every)
+
+
+FLAGS_WORD = _terms_sql(_word_sql)
+FLAGS_SUBSTRING = _terms_sql(_has)
+FLAGS_MIXED = _flag_sql(lambda w: " OR ".join([f"{_word_sql('all_text', [x for x in w if ' ' not in x])}", *[f"contains(all_text, '{x}')" for x in w if " " in x]]), "len(terms) > 0")
 
 
 def parse_quantity(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import activity, catalogue, fusion, retrieval, selection
+from quern.plans import activity, catalogue, fusion, lookups, retrieval, selection, streams
 
-MODULES = (retrieval, catalogue, selection, activity, fusion)
+MODULES = (retrieval, catalogue, selection, activity, fusion, lookups, streams)
 
 
 def queries() -> dict:

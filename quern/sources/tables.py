@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -70,9 +72,41 @@ def write_json(df: DataFrame, path: str) -> None:
     without_internal(df).write.json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` in which the rows of ``new`` replace or join those of the same key; keys of ``new`` are unique."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
+    """``old`` in which the rows of ``new`` replace or join those of the same key.
+
+    Of several new rows of a key the last by ``order`` stays, or by all their columns where none is given.
+    """
+    last = Window.partitionBy(key).orderBy(*[c.desc() for c in order or [F.col(c) for c in new.columns if c != key] or [F.lit(0)]])
+    chosen = new.withColumn("__last", F.row_number().over(last)).where("__last = 1").drop("__last")
+    return old.join(chosen.select(key), key, "left_anti").unionByName(chosen)
+
+
+def insert(df: DataFrame, table_name: str) -> None:
+    """Append rows to a table."""
+    df.write.mode("append").insertInto(table_name) if df.sparkSession.catalog.tableExists(table_name) else df.write.saveAsTable(table_name)
+
+
+def merged_object(document: Column, patch: Column) -> Column:
+    """A map with the keys of another one over its own; null counts as empty."""
+    new = F.coalesce(patch, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(F.coalesce(document, F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def profile_of(profiles: DataFrame, user_id, schema: str, column: str = "profile_data") -> DataFrame:
+    """The profile of one user, at most one row: a JSON column read by ``schema``, with the user_id filled in."""
+    row = profiles.where(F.col("user_id") == F.lit(user_id)).limit(1)
+    return row.select("user_id", F.from_json(F.col(column), schema).alias("p")).select("user_id", *[f"p.{f.name}" for f in profiles.sparkSession.createDataFrame([], schema).schema if f.name != "user_id"])
+
+
+@contextlib.contextmanager
+def cached(df: DataFrame):
+    """``df`` kept in memory and on disk for as long as the block lasts."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def update(df: DataFrame, changes: Mapping[str, Column], where: Column) -> DataFrame:
