@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import staging
 from quern.llm.words import Kept, per_worker, text_slices
 
-FAN, NO_PAIR, ROW_LEAVES = 32, 1 << 30, 64
+FAN, NO_PAIR, ROW_LEAVES, SLICE = 32, 1 << 30, 64, 1 << 20
 LATIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+").fullmatch  # composed letters whose lower case is one letter
 _PLACE, _NONE = 6, np.int64(NO_PAIR) << 6  # bits of a leaf's place; a leaf without a pair
 
@@ -140,7 +140,7 @@ def merge_rows(symbols: np.ndarray, length: np.ndarray, merges: Merges) -> np.nd
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most: int = 250_000, most_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -159,7 +159,8 @@ class Bpe:
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + end] for c in letters]
         self.inner_of, self.last_of = np.array(self.inner), np.array(self.last)
-        library = Tokenizer.from_file(path)
+        letters_only = spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}  # its model is not needed
+        library = Tokenizer.from_str(json.dumps(letters_only))
         self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -282,7 +283,7 @@ def default_path() -> str:
 
 def _encode(batches, path: str):
     bpe = per_worker(Bpe, path)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, SLICE):
         ids = bpe.encode_all(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -308,7 +309,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
 
 def _digest(batches, path: str):
     bpe = per_worker(Bpe, path)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, SLICE):
         n, ids, text = [], [], []
         for count, decimal, plain in bpe.rendered_all(batch.column("text").to_pylist()):
             n.append(count)

@@ -194,7 +194,8 @@ def in_mixed_order(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     if not several.isEmpty():
         one = staging.keyed(docs).join(staging.broadcast_if_few(several), key).dropDuplicates(key)
         found = found.unionByName(one.select("row", F.explode("at").alias("place")))
-    return found.sort("place").select("row.*")
+    parts = max(1, docs.rdd.getNumPartitions())  # as large as those that were read, whatever a shuffle would make of them
+    return found.repartitionByRange(parts, "place").sortWithinPartitions("place").select("row.*")
 
 
 def keep_mixed(docs: DataFrame, **how) -> DataFrame:
