@@ -50,3 +50,16 @@ def test_registered(spark):
 
     assert "pipeline" in entry.queries() and {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in entry.queries()}
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_columns_with_the_names_that_helpers_use(spark):
+    """Extra columns keep their values through every stage, whatever they are called."""
+    docs = spark.range(60).selectExpr(
+        "id AS doc_id", "concat('the cat and the dog number ', id % 50, ' went to the market and bought ', id % 50, ' apples') AS text", "'en' AS lang", "concat('s', id % 3) AS source", "60L AS n_chars",
+        "id * 2 AS __id", "id * 3 AS __gone", "id * 5 AS h1", "id * 7 AS row", "id * 11 AS place", "id * 13 AS arrival", "id * 17 AS left",
+    )
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = staging.staged(stage(spark, kept, ""), "t")
+        assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    assert 0 < kept.count() <= 50
