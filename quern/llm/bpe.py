@@ -140,7 +140,7 @@ def merge_rows(symbols: np.ndarray, length: np.ndarray, merges: Merges) -> np.nd
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 250_000, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most: int = 150_000, most_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
