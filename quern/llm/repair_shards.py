@@ -98,7 +98,10 @@ class _Words(dict):
         self.letters = dict(enumerate(byte_letters()))
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":  # only the space has another letter
+            letters = self.letters[32] + word[1:]
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
         ids = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
         if len(word) <= self.LONGEST:
             self[word] = ids
@@ -117,8 +120,10 @@ class _Pieces(dict):
         self.word, self.split = words.__getitem__, regex.compile(WORD).findall
 
     def __missing__(self, piece: str) -> bytes:
-        words = self.split(piece[1:] if piece[0:1] == "\0" else " " + piece)
-        ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        if piece.isalpha() and piece.isascii():
+            ids = self.word(" " + piece)
+        else:
+            ids = b"".join(map(self.word, self.split(piece[1:] if piece[0:1] == "\0" else " " + piece)))
         if len(piece) <= self.LONGEST:
             self[piece] = ids
             self.bytes += len(piece) + len(ids)
