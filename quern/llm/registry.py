@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, exact_dedup, language_id, licenses, mixing, near_dup, repair_shards, shards, token_counts, vp_search
+from quern.llm import bpe, chat, exact_dedup, fill_middle, hard_negatives, language_id, licenses, mixing, near_dup, repair_shards, shards, token_counts, vp_search
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_setsketch_near_dup": near_dup.op9_setsketch_near_dup,
         "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_chat_format": chat.op13_chat_format,
     }
 
 
@@ -25,4 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_shard_compaction": shards.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op7_pfair_mixing": mixing.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_fill_middle": fill_middle.ORACLE,
+        "op13_chat_format": chat.ORACLE,
     }
