@@ -17,7 +17,8 @@ File format: Parquet, a row for each block.
 The lengths let a reader find the symbols that cover any range of ids and expand only those.
 
 The tokenizers library's BPE model gives all ids. A text is cut before its spaces, where its word pattern always cuts too, unless
-white space follows a space, the text ends in one or it holds a special token or a zero character: those texts are encoded whole. A worker
+white space follows a space, the text ends in one or it holds a special token or a zero character: those texts are encoded whole. The
+pieces between are cut by the word pattern; those with characters beyond Latin by the library itself, whose Unicode tables are older. A worker
 keeps the ids of the words and pieces that it has seen, within a bound.
 
 Defined results: null and empty texts are the end id alone; documents with the same or a null doc_id stand next to each
@@ -44,6 +45,8 @@ from quern.llm.words import per_worker, text_slices
 BLOCK_TOKENS, END_ID, SYMBOLS = 1 << 20, 0, 1 << 16
 #: Fixed value: the word pattern of byte-level vocabularies of this family.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes are the same in all Unicode tables, but for controls that only some count as white space.
+SETTLED = re.compile(r"[\t-\r\x20-\x7e\xa0-\u017f]*")
 UNEVEN = re.compile(r" \s")
 
 
@@ -65,7 +68,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.words = _Words(self.tokenizer.model)
-        self.pieces = _Pieces(self.words)
+        self.pieces = _Pieces(self.words, self.tokenizer.pre_tokenizer.pre_tokenize_str)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, each followed by END_ID, and how many each text has with it."""
@@ -114,16 +117,18 @@ class _Pieces(dict):
 
     MOST, MOST_BYTES, LONGEST = 800_000, 48 << 20, 64
 
-    def __init__(self, words: _Words):
+    def __init__(self, words: _Words, library):
         super().__init__()
         self.bytes = 0
-        self.word, self.split = words.__getitem__, regex.compile(WORD).findall
+        self.word, self.split, self.library = words.__getitem__, regex.compile(WORD).findall, library
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha() and piece.isascii():
             ids = self.word(" " + piece)
         else:
-            ids = b"".join(map(self.word, self.split(piece[1:] if piece[0:1] == "\0" else " " + piece)))
+            text = piece[1:] if piece[0:1] == "\0" else " " + piece
+            words = self.split(text) if SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in self.library(text)]
+            ids = b"".join(map(self.word, words))
         if len(piece) <= self.LONGEST:
             self[piece] = ids
             self.bytes += len(piece) + len(ids)

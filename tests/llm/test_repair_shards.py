@@ -101,3 +101,15 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
     for i in range(20):
         e.encode([" ".join(f"w{i}x{k}" for k in range(300)), "z" * 10_000 + str(i)])
         assert e.pieces.bytes < 40_000 and e.words.bytes < 40_000 and all(len(w) <= 64 for w in [*e.words, *e.pieces])
+
+
+def test_every_code_point_is_cut_as_by_the_library():
+    """Before 's, between digits and after a space: what a character is taken for shows only there."""
+    e = r.Encoder(r.default_path())
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4000):
+        texts = [f"B{c}'s 7{c}7 {c}'s" for c in points[i : i + 4000]]
+        flat, counts = e.encode(texts)
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        for t, ids, whole in zip(texts, parts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids.tolist() == whole.ids + [0], t
