@@ -8,8 +8,9 @@ index, hash to (template, position), which is as large as the templates are. Wor
 almost all of an ordinary text costs one lookup a word.
 
 Hits of one template on neighbouring diagonals, that lie within a template's length of each other, form a candidate. The
-template is aligned with the words around them by local alignment (match +1, mismatch and gap -1) in a band of ``BAND``
-words on both sides, or half the template's words. Its matched words over the template's words are the coverage. Matches
+whole template is aligned with some run of the words around them (match +1, mismatch and gap -1) in a band of ``BAND``
+words on both sides, or half the template's words. Its matched words over the template's words are the coverage, and the
+span goes from the first to the last of them. Matches
 of ``FLOOR`` or more are rows, and ``passes`` says whether they reach ``LEAST``. With up to 15% of a template's words
 exchanged some run of words is left that shares a fingerprint, so no match that passes is missed.
 
@@ -216,33 +217,26 @@ class Index:
 
 
 def align(template: np.ndarray, part: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Matched words, first and last place in ``part`` of the best local alignment with diagonals from low to high."""
-    rows, width = len(template), high - low + 1
-    words = part.tolist()
-    above = [(0, 0, -1)] * (width + 1)  # score, matches, minus the first place; a tuple's order is the preference
-    best = (0, 0, 0, -1)
+    """Matched words, first and last matched place in ``part`` of the best alignment of the whole template with any run of
+    ``part``, with diagonals from low to high. What lies beyond the ends of ``part`` matches nothing."""
+    width, words = high - low + 1, dict(enumerate(part.tolist()))
+    outside = (-(1 << 60), 0, 0, 0)
+    above = [(0, 0, 0, 0)] * (width + 1)  # score, matches, minus the first and the last place; a tuple's order is the preference
     for i, want in enumerate(template.tolist()):
-        line, left = [], (0, 0, -(i + low))
+        line, left = [], outside
         for k in range(width):
             j = i + low + k
-            if not 0 <= j < len(words):
-                cell = (0, 0, -j - 1)
+            s, m, f, e = above[k]
+            left = (left[0] - 1, *left[1:])
+            if words.get(j) == want:
+                left = max((s + 1, m + 1, f if m else -j, -j), left)
             else:
-                s, m, f = above[k]
-                if s == 0:
-                    f = -j
-                diagonal = (s + 1, m + 1, f) if words[j] == want else (s - 1, m, f)
-                s, m, f = above[k + 1]
-                up = (s - 1, m, f)
-                cell = max(diagonal, up, (left[0] - 1, left[1], left[2]))
-                if cell[0] <= 0:
-                    cell = (0, 0, -j - 1)
-                elif (cell[0], cell[1], cell[2]) > best[:3]:
-                    best = (*cell, j)
-            line.append(cell)
-            left = cell
-        above = [*line, (0, 0, -1)]
-    return best[1], -best[2], best[3]
+                s, m, f, e = max((s, m, f, e), above[k + 1])  # exchanged or missing
+                left = max((s - 1, m, f, e), left)
+            line.append(left)
+        above = [*line, outside]
+    _, matched, first, last = max(above)
+    return matched, -first, -last
 
 
 WORD = re.compile(r"\S+")

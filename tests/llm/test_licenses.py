@@ -32,18 +32,17 @@ def test_edited_copies_and_repeats(spark):
 
 
 def whole_alignment(template, part):
-    """Best local alignment by the full table, no band."""
-    best, table = (0, 0, 0, -1), np.zeros((len(template) + 1, len(part) + 1), object)
-    table[:] = [[(0, 0, -j) for j in range(len(part) + 1)] for _ in range(len(template) + 1)]
+    """The whole template with the run of ``part`` that scores best, by the full table with no band."""
+    table = np.zeros((len(template) + 1, len(part) + 1), object)
+    table[:] = [[(-i, 0, 0, 0)] * (len(part) + 1) for i in range(len(template) + 1)]
+    less = lambda cell: (cell[0] - 1, *cell[1:])
     for i in range(1, len(template) + 1):
         for j in range(1, len(part) + 1):
-            s, m, f = table[i - 1, j - 1]
-            f = -(j - 1) if s == 0 else f
-            cell = max((s + 1, m + 1, f) if template[i - 1] == part[j - 1] else (s - 1, m, f), (table[i - 1, j][0] - 1, *table[i - 1, j][1:]), (table[i, j - 1][0] - 1, *table[i, j - 1][1:]))
-            table[i, j] = cell if cell[0] > 0 else (0, 0, -j)
-            if cell[0] > 0 and cell > best[:3]:
-                best = (*cell, j - 1)
-    return best[1], -best[2], best[3]
+            s, m, f, e = table[i - 1, j - 1]
+            met = template[i - 1] == part[j - 1]
+            table[i, j] = max((s + 1, m + 1, f if m else 1 - j, 1 - j) if met else less((s, m, f, e)), less(table[i - 1, j]), less(table[i, j - 1]))
+    _, m, f, e = max(table[-1])
+    return m, -f, -e
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -122,3 +121,18 @@ def test_parts_of_a_license_are_reported_below_the_threshold(spark):
     assert [(r["doc_id"], r["license"], r["n_matched"], r["passes"]) for r in own] == [(2, "mine", 6, False)]
     with pytest.raises(ValueError):
         li.scanned(docs, templates.selectExpr("name", "repeat(coalesce(text, 'x'), 4000000) AS text"))
+
+
+def test_one_word_exchanged_anywhere(index):
+    """Each word of each template, the first and the last too, exchanged for another or left out: all others are matched."""
+    for t, name in enumerate(index.names):
+        words = li.TEMPLATES[name].split()
+        places = range(len(words)) if len(words) <= 60 else [*range(4), len(words) // 2, *range(len(words) - 4, len(words))]
+        for at in places:
+            if len(words) - 1 < li.LEAST * len(words):
+                continue
+            for instead in (["nonesuch"], ["the"], []):
+                text = ["zzz", *words[:at], *instead, *words[at + 1 :], "zzz"]
+                best = max((m for m in index.matches(text, li.LEAST) if m[0] == t), key=lambda m: m[2], default=None)
+                same = instead == ["the"] and words[at].lower() == "the"
+                assert best is not None and best[2] == len(index.templates[t]) - (not same), (name, at, instead)
