@@ -1,8 +1,13 @@
 """Names looked up in tiers of reference tables: exactly, by usual phrases, by beginning, and by likeness.
 
 The first tier with a match decides. Each rule is an equi-join: names of a table that begin with the name are found by
-joining it with all their beginnings at a comma or space, and likeness is computed only for pairs that share the first
-three letters of a word.
+joining it with all their beginnings at a comma or space, and likeness is computed only for pairs that a lossless filter leaves.
+
+The filter: let two names, words sorted, have a and b letters, and common letters in order c. At LIKE of 100, 200 c / (a + b) >= LIKE
+gives a least c. Of the c - 1 neighbours among them, at most (a - c) / 2 stand more than two places apart in the first name and
+(b - c) / 2 in the second, so the names share at least ``least_shared`` pairs of letters one or two places apart, counted as often as
+both have them. A name's most frequent pairs, as long as they are fewer than that, may be left out of the join; what is left
+must still share the rest. Lengths differ by less than a factor of two, so classes of length are part of the key.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ PHRASES = (
     ", steamed", ", boiled/cooked in water", ", peeled, raw", ", peeled, boiled/cooked in water",
 )
 LIKE, SURE, TOP, CLOSE = 70.0, 85.0, 10, 10.0
+SPACES = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # what Python's split takes for space
+WHOLE = r"(?![\uDC00-\uDFFF])"  # not inside a character
 
 
 def common_length(a: str, b: str) -> int:
@@ -53,10 +60,48 @@ def _first(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def _starts(names: Column) -> Column:
-    """The first three letters of each word."""
-    words = F.filter(F.split(names, r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))
+def _sorted_words(names: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(names, SPACES), lambda w: w != "")), " ")
+
+
+def least_common(a: Column, b: Column) -> Column:
+    """The fewest common letters in order that names of ``a`` and ``b`` letters have if they are LIKE alike."""
+    return F.ceil((a + b) * int(LIKE) / 200).cast("int")
+
+
+def least_shared(a: Column, b: Column) -> Column:
+    """How many pairs of letters, one or two places apart, such names share at least."""
+    c = least_common(a, b)
+    return (c - 1 - F.floor((a - c) / 2) - F.floor((b - c) / 2)).cast("int")
+
+
+def _pairs_of(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with size (letters of the sorted words), pair and n: how often the pair stands there. One letter has no pairs."""
+    runs = lambda k: F.regexp_extract_all("words", F.lit(f"(?s){WHOLE}(?=({'.' * k}))"), F.lit(1))
+    apart = F.transform(runs(3), lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, 3, 1)))
+    each = rows.withColumn("words", _sorted_words(F.col(text))).withColumn("size", F.char_length("words"))
+    each = each.select(*rows.columns, "size", F.explode(F.concat(runs(2), apart)).alias("pair"))
+    return each.groupBy(*rows.columns, "size", "pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def alike_pairs(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """name, tier, entry: every pair of a name (name, tries) and an entry (tier, entry) of its first ``tries`` tiers that can be LIKE
+    alike, but for equal ones of one letter or none."""
+    met = _pairs_of(entries, "entry").select("tier", "entry", F.col("size").alias("long"), F.length(F.bin("size")).alias("class"), "pair", F.col("n").alias("m"))
+    often = met.groupBy("pair").agg(F.sum("m").alias("often"))
+    asked = _pairs_of(names.where("tries > 0").select("name", "tries"), "name")
+    sizes = F.filter(F.sequence(F.lit(1), F.col("size") * 2), lambda b: least_common(F.col("size"), b) <= F.least("size", b))
+    fewest = F.array_min(F.transform(sizes, lambda b: least_shared(F.col("size"), b)))
+    seen = F.sum("n").over(Window.partitionBy("name").orderBy(F.col("often").desc(), "pair"))  # a name's own pairs
+    kept = asked.join(often, "pair", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("seen", seen).withColumn("fewest", fewest)
+    kept = kept.withColumn("out", F.coalesce(F.max(F.when(F.col("seen") < F.col("fewest"), F.col("seen"))).over(Window.partitionBy("name")), F.lit(0))).where("seen >= fewest AND often > 0")
+    near = F.array(*[F.length(F.bin("size")) + i for i in (-1, 0, 1)])
+    kept = kept.select("name", "size", "pair", "n", "out", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("tier"), near.alias("near"))
+    kept = kept.withColumn("class", F.explode("near")).drop("near")
+    a, b = F.col("size"), F.col("long")
+    both = kept.join(met, ["tier", "class", "pair"]).where(least_common(a, b) <= F.least(a, b))
+    shared = both.groupBy("name", "tier", "entry", "size", "long", "out").agg(F.sum(F.least("n", "m")).alias("shared"))
+    return shared.where(F.col("shared") + F.col("out") >= least_shared(a, b)).select("name", "tier", "entry")
 
 
 def _plainly(names: DataFrame, entries: DataFrame) -> DataFrame:
@@ -74,9 +119,7 @@ def _plainly(names: DataFrame, entries: DataFrame) -> DataFrame:
 
 def _alike(names: DataFrame, entries: DataFrame) -> DataFrame:
     """The same by likeness (4), in each of the ``tries`` first tiers of a name."""
-    asked = names.where("tries > 0").select("name", F.explode(F.expr("sequence(0, tries - 1)")).alias("tier")).select("name", "tier", F.explode(_starts(F.col("name"))).alias("start"))
-    pairs = asked.join(entries.select("tier", "entry", F.explode(_starts(F.col("entry"))).alias("start")), ["tier", "start"]).select("name", "tier", "entry").distinct()
-    scored = pairs.withColumn("score", likeness_of("name", "entry")).where(F.col("score") >= LIKE)
+    scored = alike_pairs(names, entries).withColumn("score", likeness_of("name", "entry")).where(F.col("score") >= LIKE)
     of_name = Window.partitionBy("name", "tier")
     best = scored.withColumn("place", F.row_number().over(of_name.orderBy(F.col("score").desc(), F.length("entry"), "entry"))).where(F.col("place") <= TOP)
     head = F.split("entry", ",")[0]
@@ -90,7 +133,7 @@ def tiered(names: DataFrame, tiers: Mapping[str, DataFrame], like: bool = True)
     """name, tier, entry, rule: each distinct name (column ``name``) in the first tier that has it; others have no row.
 
     Tiers are tables with a column ``entry``; names and entries are compared trimmed and in lower case. Likeness is tried
-    in the tiers before the one that has the name plainly.
+    in the tiers before the one that has the name plainly, with every entry in effect. Null and blank names and entries match nothing.
     """
     clean = lambda c: F.lower(F.trim(F.col(c)))
     wanted = names.select(clean("name").alias("name")).where("name <> ''").distinct()

@@ -169,7 +169,7 @@ def answer_items(items: DataFrame, ranked: DataFrame) -> DataFrame:
     meta = ranked.select("recipe_id", *[c(k).alias(f"_{k}") for k in ("title", "match_score", "match_tier", "minutes", "difficulty", "serves")])
     number = lambda k: F.when(F.coalesce(c(k), F.lit(0)) == 0, c(f"_{k}")).otherwise(c(k)).cast("int").alias(k)
     tier = F.coalesce(_filled(c("match_tier")), _filled(c("_match_tier")), F.lit("stretch_pick"))
-    said = lambda x: F.regexp_replace(x, "!+", ".")
+    said = lambda x: F.regexp_replace(x, r"!(?=\s|$)", ".")
     return items.join(meta, "recipe_id", "left").select(
         "recipe_id", F.coalesce(_filled(c("title")), _filled(c("_title")), F.concat(F.lit("Recipe "), (c("position") + 1).cast("string"))).alias("title"),
         F.round(F.coalesce("match_score", "_match_score", F.lit(0.0)), 4).alias("match_score"), F.when(tier.isin(*TIERS), tier).otherwise("stretch_pick").alias("match_tier"),

@@ -20,8 +20,7 @@ def plain_lookup(name, entries):
     if starts:
         pool = [e for e in starts if "raw" in e] or [e for e in starts if "cooked" in e or "steamed" in e] or starts
         return min(pool, key=lambda e: (len(e), e)), 3
-    begins = lambda x: {w[:3] for w in x.replace(",", " ").replace("(", " ").replace(")", " ").split()}
-    scored = sorted(((-lookup.likeness(name, e), len(e), e) for e in entries if begins(name) & begins(e) and lookup.likeness(name, e) >= 70))[:10]
+    scored = sorted(((-lookup.likeness(name, e), len(e), e) for e in entries if lookup.likeness(name, e) >= 70))[:10]
     if not scored:
         return None
     plain = [r for r in scored if len(r[2].split(",")) <= 4 and (name in r[2].split(",")[0] or -r[0] >= 85)] or scored[:3]
@@ -34,7 +33,7 @@ def test_against_trying_every_entry(spark):
     bases = ["tomato", "tomatoes", "chicken", "chicken breast", "rice", "brown rice", "olive oil", "olives", "cheese", "egg", "eggplant"]
     tails = ["", ", raw", ", cooked", ", steamed, plain", " soup", ", white", " (average)", ", a, b, c, d", ", green, with much salt"]
     entries = sorted({draw.choice(bases) + draw.choice(tails) for _ in range(60)})
-    names = sorted({*bases, *(b[:-1] for b in bases), *(b + "s" for b in bases), "breast chicken", "oil olive", "unknown", "tomatoe soups", " Rice "})
+    names = sorted({*bases, *(b[:-1] for b in bases), *(b + "s" for b in bases), "breast chicken", "oil olive", "hcicken", "htmatoes", "ggeplnt", "unknown", "tomatoe soups", " Rice "})
     tiers = {"first": entries[:25], "second": entries[25:]}
     want = {}
     for n in {n.strip().lower() for n in names}:
@@ -48,6 +47,29 @@ def test_against_trying_every_entry(spark):
     assert lookup.tiered(frame("name", []), {"t": frame("entry", entries)}).count() == 0 == lookup.tiered(frame("name", names), {"t": frame("entry", [])}).count()
 
 
+@pytest.mark.parametrize("letters", ["ab ", "aé🍜, \u00a0", "abcdefghijklmnopqrstuvwxyz "])
+def test_no_pair_that_is_alike_is_left_out(spark, letters):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(1, 16))).strip()
+    entries = sorted({word() for _ in range(150)} - {""})
+
+    def changed(e):
+        e = list(e)
+        for _ in range(draw.randint(0, 1 + len(e) // 3)):
+            at = draw.randrange(len(e) + 1)
+            e[at : at + draw.randint(0, 1)] = draw.choice(["", draw.choice(letters)])
+        return "".join(e).strip()
+
+    names = sorted({word() for _ in range(50)} | {changed(e) for e in entries} - {""})
+    tries = {n: draw.randint(0, 2) for n in names}
+    asked = spark.createDataFrame(list(tries.items()), "name string, tries int")
+    got = [tuple(r) for r in lookup.alike_pairs(asked, spark.createDataFrame([(i % 2, e) for i, e in enumerate(entries)], "tier int, entry string")).collect()]
+    want = {(n, i % 2, e) for n in names for i, e in enumerate(entries) if i % 2 < tries[n] and len("".join(n.split())) > 1 and lookup.likeness(n, e) >= 70}
+    assert want <= set(got) and len(set(got)) == len(got) and len(want) > 30
+    if len(letters) > 20:  # few others are tried
+        assert len(got) < 0.05 * sum(tries.values()) * len(entries) / 2
+
+
 @pytest.mark.parametrize("a,b,score", [("rice brown", "brown rice", 100.0), ("abc", "abd", 200 * 2 / 6), ("", "x", 0.0), ("", "", 100.0), ("kitten", "sitting", 200 * 4 / 13)])
 def test_likeness(a, b, score):
     assert lookup.likeness(a, b) == pytest.approx(score) == pytest.approx(lookup.likeness(b, a))

@@ -62,10 +62,10 @@ def test_profiles_and_records(spark):
 
 
 def test_answers(spark):
-    items = spark.createDataFrame([("a", 0, "", None, "odd", 0, None, 2, ["Hot!!", "ok"]), ("generated", 1, None, 0.123456, "adapted", 5, 1, None, None)], "recipe_id string, position int, title string, match_score double, match_tier string, minutes int, difficulty int, serves int, warnings array<string>")
+    items = spark.createDataFrame([("a", 0, "", None, "odd", 0, None, 2, ["Hot!!", "a!b c! d"]), ("generated", 1, None, 0.123456, "adapted", 5, 1, None, None)], "recipe_id string, position int, title string, match_score double, match_tier string, minutes int, difficulty int, serves int, warnings array<string>")
     ranked = spark.createDataFrame([("a", "Soup", 0.98765, "full_match", 30, 2, 9)], "recipe_id string, title string, match_score double, match_tier string, minutes int, difficulty int, serves int")
     a, b = p.answer_items(items, ranked).orderBy("recipe_id").collect()
-    assert tuple(a) == ("a", "Soup", 0.9877, "stretch_pick", 30, 2, 2, ["Hot.", "ok"])
+    assert tuple(a) == ("a", "Soup", 0.9877, "stretch_pick", 30, 2, 2, ["Hot!.", "a!b c. d"])
     assert tuple(b) == ("generated", "Recipe 2", 0.1235, "adapted", 5, 1, None, [])
 
 
