@@ -5,6 +5,10 @@ that lists the live shards. Arrivals are appended as small shards. Compaction ta
 lie within the same power of ``ratio``, and once it holds ``min_runs`` shards rewrites them as files of at most the target
 size, without a shuffle: whole shards are packed into bins, and each bin is one task that streams one output file.
 
+Arrivals that are written together come from about one task for each target size of input, or one a core, whatever the number of
+their partitions, so that each is a few shards. A compaction removes at once the files that it wrote itself and has merged again;
+the version it began with stays readable until ``vacuum``.
+
 A version is committed by renaming a finished file to its name, which fails if that version exists: readers see
 the old list or the new one, and of two writers one gets ``CommitConflict`` and tries again on the newer version.
 A job that dies, or loses executors beyond recovery, leaves files that no manifest lists; ``vacuum`` removes them.
@@ -109,13 +113,15 @@ class ShardLog:
                 continue
 
     def _written(self, folder: str) -> list[dict]:
-        found, files = [], self.fs.listFiles(self._path(f"data/{folder}"), True)
-        root = self._path("data").toUri().getPath()
-        while files.hasNext():
-            f = files.next()
-            if f.getPath().getName().endswith(".parquet"):
-                found.append({"path": f.getPath().toUri().getPath()[len(root) + 1 :], "bytes": f.getLen()})
-        return sorted(found, key=lambda s: s["path"])
+        """The shards of a folder, listed by one Spark job that opens none."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{self.path}/data/{folder}")
+        found = files.select(F.substring_index("path", f"/{folder}/", -1).alias("name"), "length").collect()
+        return sorted(({"path": f"{folder}/{name}", "bytes": size} for name, size in found), key=lambda s: s["path"])
+
+    def _few(self, rows: DataFrame) -> DataFrame:
+        """``rows`` in no more partitions than their estimated size has targets, or than there are cores; neighbours are read together."""
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return rows.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-size // self.target_bytes))) if size < self.target_bytes << 20 else rows
 
     def append(self, arrival: DataFrame) -> int:
         """Write one arrival as small shards, one per task, and commit them."""
@@ -126,7 +132,7 @@ class ShardLog:
     def append_each(self, arrivals: DataFrame, by: str) -> int:
         """One job writes all arrivals, told apart by column ``by``; each is then a commit of its own, in order."""
         folder, name = uuid.uuid4().hex, staging.free_name(arrivals, "__arrival")
-        arrivals.withColumn(name, F.col(by)).write.partitionBy(name).parquet(f"{self.path}/data/{folder}")
+        self._few(arrivals.withColumn(name, F.col(by))).write.partitionBy(name).parquet(f"{self.path}/data/{folder}")
         new: dict[str, list[dict]] = {}
         for s in self._written(folder):
             new.setdefault(s["path"].split("/")[1], []).append(s)
@@ -162,15 +168,21 @@ class ShardLog:
 
         Spark's reader packs whole files, largest first, into tasks of at most ``maxPartitionBytes``; with the target
         for that, and nothing else that makes tasks smaller, every task is a bin and writes one file. A job that dies
-        costs no other one's work: each commits what it has merged.
+        costs no other one's work: each commits what it has merged. A reader of a version between may have to read anew.
         """
+        own: set[str] = set()  # written by this call
         bins = {"maxPartitionBytes": str(self.target_bytes), "minPartitionNum": "1", "openCostInBytes": "0"}
         while run := self.next_run():
             for part in self.batches(run, files_a_job):
                 folder = uuid.uuid4().hex
                 with _settings(self.spark, {f"spark.sql.files.{k}": v for k, v in bins.items()}):
                     self._read(part).write.parquet(f"{self.path}/data/{folder}")
-                self._commit_change(part, self._written(folder))
+                new = self._written(folder)
+                self._commit_change(part, new)
+                for s in part:
+                    if s["path"] in own:
+                        self.fs.delete(self._path(f"data/{s['path']}"), False)
+                own |= {s["path"] for s in new}
         return self.version()
 
     def vacuum(self) -> None:

@@ -90,3 +90,44 @@ def test_columns_named_like_the_arrival_stay(spark):
     log = log_of(spark, docs)
     log.append_each(docs, "by")
     assert sorted(map(tuple, log.read().collect())) == sorted(map(tuple, docs.collect()))
+
+
+def on_disk(log):
+    files, size = log.fs.listFiles(log._path("data"), True), 0
+    while files.hasNext():
+        size += files.next().getLen()
+    return size
+
+
+def test_many_partitions_of_short_rows(spark):
+    """211 partitions and 8 arrivals: a few shards each, and never 3 times the input on disk."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text", "id % 8 AS arrival")
+    at = staging.new_path(spark, "short")
+    docs.repartition(211).write.parquet(at)
+    arrivals = spark.read.parquet(at)
+    log = shards.ShardLog(spark, staging.new_path(spark, "log"), arrivals.schema, target_bytes=1 << 20)
+    whole = shards.ShardLog(spark, staging.new_path(spark, "whole"), arrivals.schema)
+    whole.append(arrivals.coalesce(1))
+    log.append_each(arrivals, "arrival")
+    assert log.version() == 8 and len(log.shards()) <= 8 * spark.sparkContext.defaultParallelism
+    log.compact()
+    assert on_disk(log) < 3 * on_disk(whole)
+    assert max(s["bytes"] for s in log.shards()) <= 1.5 * (1 << 20)
+    assert sorted(map(tuple, log.read().collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_what_a_compaction_wrote_and_merged_again_goes(spark):
+    log = shards.ShardLog(spark, staging.new_path(spark, "log"), "id long", target_bytes=1 << 40, ratio=1.3, min_runs=2)
+    for n in (1000, 1000, 2000, 2000, 5000, 5000):
+        log.append(spark.range(n).coalesce(1))
+    first = log.version()
+    log.compact()
+    assert log.version() > first + 1
+    assert log.read(first).count() == log.read().count() == 16_000
+    held = log._path("data")
+    files, paths = log.fs.listFiles(held, True), set()
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName().endswith(".parquet"):
+            paths.add(f.toUri().getPath()[len(held.toUri().getPath()) + 1 :])
+    assert paths == {s["path"] for v in (first, log.version()) for s in log.shards(v)}
