@@ -167,7 +167,8 @@ class ShardLog:
         """Merge ripe tiers until none is left. Each merge reads and writes its shards once, without a shuffle.
 
         Spark's reader packs whole files, largest first, into tasks of at most ``maxPartitionBytes``; with the target
-        for that, and nothing else that makes tasks smaller, every task is a bin and writes one file. A job that dies
+        for that, and nothing else that makes tasks smaller, every task is a bin and writes one file. Where the reader cuts smaller all
+        the same, tasks are put together, so every merge leaves fewer shards or is the last. A job that dies
         costs no other one's work: each commits what it has merged. A reader of a version between may have to read anew.
         """
         own: set[str] = set()  # written by this call
@@ -176,8 +177,11 @@ class ShardLog:
             for part in self.batches(run, files_a_job):
                 folder = uuid.uuid4().hex
                 with _settings(self.spark, {f"spark.sql.files.{k}": v for k, v in bins.items()}):
-                    self._read(part).write.parquet(f"{self.path}/data/{folder}")
+                    most = 2 * sum(s["bytes"] for s in part) // self.target_bytes + 1  # bins that fill up in turn are no more
+                    self._read(part).coalesce(most).write.parquet(f"{self.path}/data/{folder}")
                 new = self._written(folder)
+                if len(new) >= len(part):  # nothing gained: they are as full as they get
+                    return self.version()
                 self._commit_change(part, new)
                 for s in part:
                     if s["path"] in own:
