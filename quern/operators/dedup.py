@@ -19,8 +19,16 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.join(first.select("__first"), df[order] == F.col("__first"), "left_semi")
 
 
-def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | Column) -> DataFrame:
-    """The first ``n`` rows of each group; a constant ``n`` is applied before the shuffle too."""
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int | Column, spread: str | None = None, parts: int = 32) -> DataFrame:
+    """The first ``n`` rows of each group; a constant ``n`` is applied before the shuffle too.
+
+    With a column ``n``, which must be the same in all rows of a group, name a column ``spread`` whose values vary: each group
+    is then cut in ``parts`` by its hash and every part gives up to ``n`` rows to the group, so no task sorts a whole hot group.
+    """
+    if spread is not None:
+        salted = df.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts)))
+        rank = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+        df = salted.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__part", "__rank")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank_in_group", rank).where(F.col("rank_in_group") <= n)
 
