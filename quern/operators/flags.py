@@ -84,24 +84,26 @@ def _set(hit, swappable: Column) -> dict[str, Column]:
 NEGATIVE = ("contains_pork", "contains_shellfish", "contains_alcohol")
 
 
-def _struct(flags: Mapping[str, Column]) -> Column:
-    return F.struct(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
+def _struct(flags: Mapping[str, Column], only: Sequence[str] | None = None) -> Column:
+    return F.struct(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items() if only is None or k in only])
 
 
-def _by_term(terms: Column, hits, categories: Mapping[str, Sequence[str]]) -> Column:
-    some = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+def _by_term(terms: Column, hits, categories: Mapping[str, Sequence[str]], only: Sequence[str] | None) -> Column:
+    """Each distinct term is looked at once, since a repeated one changes no flag, and all of them in one string of a line a term."""
+    some = F.array_distinct(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))))
     swappable = F.forall(some, lambda x: ~F.coalesce(hits(x, categories["gluten"]), F.lit(False)) | hits(x, categories["swappable"]))
-    return _struct(_set(lambda k: F.exists(some, lambda x: hits(x, categories[k])), swappable))
+    lines = F.array_join(some, "\n")
+    return _struct(_set(lambda k: hits(lines, categories[k]), swappable), only)
 
 
-def by_word(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
-    """A term hits a category by whole word. Without terms all positive flags are true."""
-    return _by_term(terms, text.word_any, categories)
+def by_word(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES, only: Sequence[str] | None = None) -> Column:
+    """A term hits a category by whole word. Without terms all positive flags are true. ``only`` names the flags to make."""
+    return _by_term(terms, text.word_any, categories, only)
 
 
-def by_substring(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:
-    """A term hits a category by plain substring, so that ``nut`` is in ``nutmeg``."""
-    return _by_term(terms, text.contains_any, categories)
+def by_substring(terms: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES, only: Sequence[str] | None = None) -> Column:
+    """A term hits a category by plain substring. ``only`` names the flags to make."""
+    return _by_term(terms, text.contains_any, categories, only)
 
 
 def mixed(terms: Column, title: Column, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> Column:

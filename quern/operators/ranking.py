@@ -35,7 +35,7 @@ def _touch(names: Column, word: str) -> Column:
 
 def ingredient_overlap(names: Column, desired: Sequence[str], excluded: Sequence[str] = ()) -> Column:
     """The share of desired names that the document has, by substring either way; an excluded one costs a half."""
-    some = F.filter(F.transform(names, numeric.synonym), lambda n: n != "")
+    some = F.array_distinct(F.filter(F.transform(names, numeric.synonym), lambda n: n != ""))
     wanted = list(dict.fromkeys(numeric.SYNONYMS.get(d.strip().lower(), d.strip().lower()) for d in desired))
     if not wanted:
         return F.lit(0.5)

@@ -135,7 +135,9 @@ PROFILE = {"affinities": [("en", "like"), ("fr", "love"), ("es", "never")], "spe
 
 
 def _ranked(spark, sf_dir):
-    d = catalogue(spark, sf_dir).withColumn("f", flags.by_substring(F.col("terms"))).withColumn("tags", F.array_compact(F.array("lang")))
+    """Overlap and diet ask only whether some term matches, so they take the distinct ones, and two flags are made of twelve."""
+    d = catalogue(spark, sf_dir).withColumn("names", F.array_distinct("terms")).withColumn("tags", F.array_compact(F.array("lang")))
+    d = d.withColumn("f", flags.by_substring(F.col("names"), only=("is_vegetarian", "is_nut_free")))
     return d.withColumn("difficulty", F.when(F.col("n_chars") % 7 > 0, (F.col("n_chars") % 5 + 1).cast("int")))
 
 
@@ -145,10 +147,10 @@ _RANKED = f"""{CATALOGUE}, b AS (SELECT *, CASE WHEN lang IS NULL THEN [] ELSE [
 
 
 def rank_composite(spark, sf_dir):
-    d, f = _ranked(spark, sf_dir), {k: F.col(f"f.{k}") for k in ("is_vegetarian", "is_vegan", "contains_pork")}
+    d, f = _ranked(spark, sf_dir), {"is_vegetarian": F.col("f.is_vegetarian")}
     factors = {
-        "ingredient_overlap": ranking.ingredient_overlap(F.col("terms"), ["the", "que", "und"], ["ham"]),
-        "dietary_compliance": ranking.dietary_compliance(F.col("terms"), f, ["rum"], ["egg", "the"], "vegetarian"),
+        "ingredient_overlap": ranking.ingredient_overlap(F.col("names"), ["the", "que", "und"], ["ham"]),
+        "dietary_compliance": ranking.dietary_compliance(F.col("names"), f, ["rum"], ["egg", "the"], "vegetarian"),
         "cuisine_affinity": ranking.cuisine_affinity(F.col("tags"), PROFILE["affinities"]),
         "difficulty_match": ranking.difficulty_match(F.col("difficulty"), "home_cook"),
         "time_fit": ranking.time_fit(F.col("n_chars"), 2000),
@@ -176,7 +178,7 @@ FROM s ORDER BY match_score DESC, doc_id LIMIT 50"""
 
 
 def client_score(spark, sf_dir):
-    d, f = _ranked(spark, sf_dir), {k: F.col(f"f.{k}") for k in ("is_vegetarian", "is_vegan", "is_nut_free")}
+    d, f = _ranked(spark, sf_dir), {k: F.col(f"f.{k}") for k in ("is_vegetarian", "is_nut_free")}
     score = ranking.client_score(F.col("tags"), f, F.col("terms"), F.col("difficulty"), F.array_compact(F.array("source")), PROFILE, "src1")
     return d.select("doc_id", score.alias("score"), numeric.season((F.col("doc_id") % 12 + 1).cast("int")).alias("season"), numeric.daypart((F.col("doc_id") % 24).cast("int")).alias("daypart"))
 

@@ -71,17 +71,21 @@ GAP_FILL = f"""WITH {_POOL}, g AS (SELECT lang, greatest(0, want - coalesce((SEL
   FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in TARGETS.items())}) t(lang, want))
 SELECT doc_id, lang FROM (SELECT doc_id, lang, gap, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM p JOIN g USING (lang) WHERE NOT good) WHERE n <= gap"""
 
-SHARES, FEWEST, LEAST = {"en": 0.3, "fr": 0.2, "de": 0.15, "es": 0.1}, 50, {"good": 180, "long": 60}
+SHARES, FEWEST, LEAST = {"en": 0.3, "fr": 0.2, "de": 0.15, "es": 0.1}, 50, {"good": 115, "long": 115}
 AMOUNTS = {lang: max(FEWEST, int(TARGET * share)) for lang, share in SHARES.items()}
 
 
+def _score():
+    return [(F.col("n_chars") % 100).desc(), F.col("doc_id")]
+
+
 def minimums_selection(spark, sf_dir):
-    """Short documents first: shares of languages of at least fifty, minimums of good and long ones, the rest."""
-    chosen = sampling.with_minimums(_pool(spark, sf_dir), "lang", AMOUNTS, LEAST, TARGET, "doc_id", [F.col("n_chars"), F.col("doc_id")])
+    """Shares of languages of at least fifty, minimums of good and long ones, the rest."""
+    chosen = sampling.with_minimums(_pool(spark, sf_dir), "lang", AMOUNTS, LEAST, TARGET, "doc_id", _score())
     return chosen.select("doc_id", "lang", "phase", "turn")
 
 
-def _more(i: int, name: str, label: str, served: str, where: str, need: str, order: str = "n_chars, doc_id") -> str:
+def _more(i: int, name: str, label: str, served: str, where: str, need: str, order: str = "n_chars % 100 DESC, doc_id") -> str:
     """The rows of a phase, and those of all phases so far; ``need`` may use the label and the table of those so far."""
     return f"""n{i} AS (SELECT doc_id, {i} AS phase, '{name}' AS name, {served} AS served, row_number() OVER (PARTITION BY {label} ORDER BY {order}) AS n, {need.format(f's{i - 1}')} AS need
   FROM p WHERE ({where}) AND doc_id NOT IN (SELECT doc_id FROM s{i - 1})),
@@ -100,7 +104,7 @@ SELECT * FROM ({_CHOSEN.format("s4")}) WHERE turn <= {TARGET}"""
 
 LANGS, SOURCES = {"en": 220, "fr": 70, "de": 60, "es": 80}, {f"src{i}": 25 for i in (3, 1, 4, 0, 5, 9, 2)}
 KINDS = {"middle": ("n_chars BETWEEN 1000 AND 1500", 100), "quick": ("n_chars < 300", 40), "slow": ("n_chars > 6000", 60)}
-OTHERS, TOTAL = 260, 330
+OTHERS, TOTAL = 290, 330
 
 
 def gap_phases_selection(spark, sf_dir):
@@ -114,7 +118,7 @@ def gap_phases_selection(spark, sf_dir):
         sampling.Phase("others", {"": OTHERS}, where=F.col("lang") != "en", counted=F.lit(True), order=by_lot),
         sampling.Phase("rest", {"": TOTAL}, counted=F.lit(True), order=by_lot),
     ]
-    chosen = sampling.phased(pool.where("NOT good"), phases, "doc_id", [F.col("n_chars"), F.col("doc_id")], have=pool.where("good"))
+    chosen = sampling.phased(pool.where("NOT good"), phases, "doc_id", _score(), have=pool.where("good"))
     return chosen.select("doc_id", "lang", "phase", "turn")
 
 
