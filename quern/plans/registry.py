@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import activity, catalogue, fusion, keywords, lookups, retrieval, selection, streams
+from quern.plans import activity, catalogue, fusion, keywords, lookups, onboarding, retrieval, selection, streams
 
-MODULES = (retrieval, catalogue, keywords, selection, activity, fusion, lookups, streams)
+MODULES = (retrieval, catalogue, keywords, selection, activity, fusion, onboarding, lookups, streams)
 
 
 def queries() -> dict:
