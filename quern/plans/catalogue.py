@@ -359,6 +359,36 @@ FLAGS_SUBSTRING = _terms_sql(_has)
 FLAGS_MIXED = _flag_sql(lambda w: " OR ".join([f"{_word_sql('all_text', [x for x in w if ' ' not in x])}", *[f"contains(all_text, '{x}')" for x in w if " " in x]]), "len(terms) > 0")
 
 
+def _own_flags(words: dict, make):
+    """Terms and titles drawn from the words of a rule set; the flags that it makes of them."""
+    known = [*dict.fromkeys(w for ws in words.values() for w in ws), "rice", "graham", "coconut", "eggnog", "hamlet", "prawn toast", "pale ale"]
+
+    def query(spark, sf_dir):
+        drawn = F.array(*[F.lit(w) for w in known])
+        word = lambda by, off=0: F.element_at(drawn, ((F.col("n_chars") * by + F.col("doc_id") + off) % len(known) + 1).cast("int"))
+        terms = F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 0, F.array(word(1), F.lit("Rice"))).otherwise(F.array(word(1), F.concat(F.lit("fresh "), word(7, 3)), F.concat(F.lit("xx"), word(13, 5))))
+        d = table(spark, sf_dir, "documents").where("n_chars IS NOT NULL").select("doc_id", terms.alias("terms"), F.concat(word(5, 1), F.lit(" Bowl")).alias("title"))
+        return d.select("doc_id", make(F.col("terms"), F.col("title")).alias("f")).select("doc_id", "f.*")
+
+    word = lambda by, off=0: f"w[(n_chars * {by} + doc_id + {off}) % {len(known)} + 1]"
+    sql = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN [] WHEN doc_id % 3 = 0 THEN [{word(1)}, 'Rice'] ELSE [{word(1)}, 'fresh ' || {word(7, 3)}, 'xx' || {word(13, 5)}] END AS terms,
+  {word(5, 1)} || ' Bowl' AS title FROM documents, (SELECT [{", ".join(f"'{w}'" for w in known)}] AS w) WHERE n_chars IS NOT NULL),
+b AS (SELECT *, lower(array_to_string(terms, ' ') || ' ' || title) AS all_text FROM d)"""
+    return query, sql
+
+
+flag_inference_seven, _SEVEN = _own_flags(flags.SEVEN, flags.seven)
+flag_inference_ten, _TEN = _own_flags(flags.TEN, lambda terms, title: flags.ten(terms))
+_s = {k: f"({' OR '.join([_word_sql('all_text', [x for x in w if ' ' not in x]), *[f"contains(all_text, '{x}')" for x in w if ' ' in x]])})" for k, w in flags.SEVEN.items()}
+_t = {k: f"len(list_filter(terms, lambda x: {' OR '.join(f"contains(lower(x), '{x}')" for x in w)})) > 0" for k, w in flags.TEN.items()}
+FLAGS_SEVEN = f"""{_SEVEN}, f AS (SELECT doc_id, len(terms) > 0 AS named, {', '.join(f'{v} AS {k}' for k, v in _s.items())} FROM b)
+SELECT doc_id, named AND NOT meat AND NOT seafood AS is_vegetarian, named AND NOT meat AND NOT seafood AND NOT dairy AND NOT egg AS is_vegan, named AND NOT gluten AS is_gluten_free, named AND NOT dairy AS is_dairy_free,
+  named AND NOT nut AS is_nut_free, shellfish AS contains_shellfish, nut AS contains_nuts FROM f"""
+FLAGS_TEN = f"""{_TEN}, f AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _t.items())} FROM b)
+SELECT doc_id, NOT meat AND NOT fish AND NOT dairy AND NOT egg AS is_vegan, NOT meat AND NOT fish AS is_vegetarian, NOT meat AS is_pescatarian_ok, NOT dairy AS is_dairy_free, NOT gluten AS is_gluten_free,
+  NOT nut AS is_nut_free, NOT pork AND NOT alcohol AS is_halal_ok, pork AS contains_pork, shellfish AS contains_shellfish, alcohol AS contains_alcohol FROM f"""
+
+
 def parse_quantity(spark, sf_dir):
     """Measures such as ``3/4 kg`` made from parts, read back as amounts and grams, and names by synonym."""
     p = table(spark, sf_dir, "part")
@@ -414,6 +444,8 @@ QUERIES = {
     "keyword_class": (keyword_class, KEYWORD_CLASS),
     "flag_inference_word": (_flag_query(lambda terms, title: flags.by_word(terms)), FLAGS_WORD),
     "flag_inference_mixed": (_flag_query(flags.mixed), FLAGS_MIXED),
+    "flag_inference_seven": (flag_inference_seven, FLAGS_SEVEN),
+    "flag_inference_ten": (flag_inference_ten, FLAGS_TEN),
     "flag_inference_substring": (_flag_query(lambda terms, title: flags.by_substring(terms)), FLAGS_SUBSTRING),
     "parse_quantity": (parse_quantity, PARSE_QUANTITY),
     "embedding_text": (embedding_text, EMBEDDING_TEXT),

@@ -59,6 +59,17 @@ def test_flag_rule_sets_differ(spark):
     assert tuple(r) == (False, True, True, False)
 
 
+def test_seven_and_ten_flags_have_words_of_their_own(spark):
+    seven = lambda title, *t: {k for k, v in one(spark, flags.seven(words(*t), F.lit(title)))[0].asDict().items() if v}
+    ten = lambda *t: {k for k, v in one(spark, flags.ten(words(*t)))[0].asDict().items() if v}
+    assert seven("", "rice", "eggnog") == {"is_vegetarian", "is_vegan", "is_gluten_free", "is_dairy_free", "is_nut_free"}
+    assert seven("Nut Cake", "Greek Yogurt") == {"is_vegetarian", "contains_nuts"} and seven("Clam bake") == {"contains_shellfish"}
+    assert seven("", "baking powder", "ghee") == {"is_vegetarian", "is_nut_free"} and "is_nut_free" in seven("", "nutmeg") and "is_vegetarian" not in seven("", "ox", "bone broths")
+    assert "is_nut_free" not in ten("Nutmeg") and "contains_pork" in ten("Graham cracker") and "is_vegetarian" in ten("prawn") and "contains_shellfish" in ten("king prawns")
+    assert "is_halal_ok" not in ten("Wine vinegar") and ten() == {"is_vegan", "is_vegetarian", "is_pescatarian_ok", "is_dairy_free", "is_gluten_free", "is_nut_free", "is_halal_ok"}
+    assert "is_pescatarian_ok" in ten("cod") and "is_vegetarian" not in ten("cod")
+
+
 def test_ranking_factors(spark):
     names = words("aubergine", "rice")
     r = one(
