@@ -16,10 +16,11 @@ File format: Parquet, a row for each block.
   symbols                uint16 little-endian: the compressed block
 The lengths let a reader find the symbols that cover any range of ids and expand only those.
 
-The tokenizers library's BPE model gives all ids. A text is cut before its spaces, where its word pattern always cuts too, unless
-white space follows a space, the text ends in one or it holds a special token or a zero character: those texts are encoded whole. The
-pieces between are cut by the word pattern; those with characters beyond Latin by the library itself, whose Unicode tables are older. A worker
-keeps the ids of the words and pieces that it has seen, within a bound.
+The tokenizers library's BPE model gives all ids. Texts whose characters are the same in all Unicode tables (Latin, mostly) are cut into
+words by arrays over a batch's bytes, and each different word of the batch is looked up once. Other texts are cut before their spaces,
+where the word pattern always cuts too; the pieces between are cut by that pattern, those with characters beyond Latin by the library itself,
+whose tables are older. Texts with white space after a space, a space at the end, a special token or a zero character are encoded
+whole. A worker keeps the ids of the words and pieces that it has seen, within a bound.
 
 Defined results: null and empty texts are the end id alone; documents with the same or a null doc_id stand next to each
 other, nulls first, in the order of their texts' hashes; columns besides doc_id and text are not read.
@@ -34,6 +35,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Characters whose classes are the same in all Unicode tables, but for controls that only some count as white space.
 SETTLED = re.compile(r"[\t-\r\x20-\x7e\xa0-\u017f]*")
 UNEVEN = re.compile(r" \s")
+_UNSETTLED, _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE = range(6)
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -57,8 +60,67 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(start - (ends - length), length)]
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte of settled text, and of each lead byte from 0xC2 with its second byte."""
+    patterns = (_SPACE, " "), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_WHITE, r"\s"), (_OTHER, ".")
+    one, two = np.zeros(256, np.uint8), np.zeros((62, 64), np.uint8)
+    for c in filter(SETTLED.fullmatch, map(chr, range(0x180))):
+        kind, raw = next(k for k, p in patterns if regex.match(p, c)), c.encode()
+        if len(raw) == 1:
+            one[raw[0]] = kind
+        else:
+            two[raw[0] - 0xC2, raw[1] - 0x80] = kind
+    return one, two
+
+
+_ONE, _TWO = _classes()
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 text, that of its character; more than two bytes are never settled."""
+    kind = _ONE[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    kind[lead] = kind[lead + 1] = _TWO[data[lead] - 0xC2, data[lead + 1] & 0x3F]
+    return kind
+
+
+def _word_starts(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the word pattern's matches begin in settled texts without white space after a space or a space at the end.
+
+    A word begins at a space or where the class changes, not right after a space; of white space before anything but a
+    space or the end, the last character is a word of its own. A quote that begins a word may be that of a short form.
+    """
+    n = len(data)
+    before, after = np.zeros(n + 1, np.uint8), np.zeros(n + 1, np.uint8)
+    before[1:], after[:-1] = kind, np.append(kind[1:], 0)
+    before, after = before[:-1], after[:-1]
+    before[offsets[:-1][offsets[:-1] < n]] = 0
+    after[offsets[1:][offsets[1:] > 0] - 1] = 0
+    start = (before != kind) & (before != _SPACE)
+    white = np.flatnonzero((kind == _WHITE) & (data < 0x80) & (before == _WHITE))
+    white = white[(after[white] > 0) & (after[white] < _SPACE)]
+    start[white] = True
+    hard = np.flatnonzero((data == 0xC2) & (kind == _WHITE) & (before == _WHITE))  # the no-break space, of two bytes
+    following = np.where(after[hard] > 0, after[np.minimum(hard + 1, n - 1)], 0)
+    start[hard[(following > 0) & (following < _SPACE)]] = True
+    quote = np.flatnonzero((data == 0x27) & start)
+    if len(quote):
+        text_end = offsets[np.searchsorted(offsets, quote, "right")]
+        padded = np.append(data, np.zeros(2, np.uint8))
+        first = np.where(quote + 1 < text_end, padded[quote + 1], 0)
+        second = np.where(quote + 2 < text_end, padded[quote + 2], 0)
+        size = np.isin(first, np.frombuffer(b"stmd", np.uint8)).astype(np.int64)
+        size[((first == 0x72) | (first == 0x76)) & (second == 0x65) | (first == 0x6C) & (second == 0x6C)] = 2
+        quote, size, text_end = quote[size > 0], size[size > 0], text_end[size > 0]
+        start[quote + 1] = False
+        rest = quote + 1 + size
+        start[rest[rest < text_end]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Ids by the tokenizers library's BPE model, as bytes of uint16, with memos of words and of pieces."""
+    """Ids by the tokenizers library's BPE model, as uint16, with memos of words and of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -70,27 +132,69 @@ class Encoder:
         self.words = _Words(self.tokenizer.model)
         self.pieces = _Pieces(self.words, self.tokenizer.pre_tokenizer.pre_tokenize_str)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts``, each followed by END_ID, and how many each text has with it."""
-        end, get, out = array("H", [END_ID]).tobytes(), self.pieces.__getitem__, []
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, each followed by END_ID, and how many each text has with it.
+
+        Settled texts are cut into words by arrays, and every different word of theirs is looked up once.
+        """
         for memo in (self.words, self.pieces):
             if len(memo) > memo.MOST or memo.bytes > memo.MOST_BYTES:
                 memo.clear()
                 memo.bytes = 0
-        for text in texts:
-            if not text:
-                out.append(end)
-            elif text[-1] == " " or "<|" in text or "\0" in text or UNEVEN.search(text):
-                out.append(array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + end)
-            else:
-                pieces = text.split(" ")
-                pieces[0] = "\0" + pieces[0]  # a first word has no space before it
-                out.append(b"".join(map(get, pieces)) + end)
-        return np.frombuffer(b"".join(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out)) // 2
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        data, offsets = self._bytes(texts)
+        kind = _kinds(data)
+        following = np.append(kind[1:], 0)
+        following[offsets[1:][offsets[1:] > 0] - 1] = 0
+        odd = (kind == _UNSETTLED) | (kind == _SPACE) & ((following == 0) | (following >= _SPACE))
+        single = np.zeros(len(texts), bool)
+        single[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        single |= pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        found = [array("H", [END_ID]).tobytes(), *map(self._one, texts.filter(pa.array(single)).to_pylist())]
+        if single.any():
+            texts = texts.filter(pa.array(~single))
+            data, offsets = self._bytes(texts)
+            kind = _kinds(data)
+        begin = _word_starts(data, kind, offsets)
+        spans = [pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, *spans]).dictionary_encode()
+        number = np.asarray(coded.indices) + len(found)
+        if len(number):
+            one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary)
+            found += self.words.of(pc.binary_join(one, pa.scalar(b"\0", pa.large_binary()))[0].as_py().split(b"\0"))
+        ends = np.zeros(len(single), np.int64)  # words of all texts up to this one
+        ends[~single] = np.searchsorted(begin, offsets[1:])
+        ends = np.maximum.accumulate(ends)
+        at = np.sort(np.concatenate([ends, ends[single]]))  # where an end is put in, or a text encoded by itself and its end
+        extra = np.zeros(len(at), np.int64)
+        extra[np.flatnonzero(single) + np.arange(single.sum())] = 1 + np.arange(single.sum())
+        number = np.insert(number, at, extra)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        length = sizes[number]
+        total = np.append(0, np.cumsum(length))[ends + np.arange(1, len(ends) + 1) + np.cumsum(single)]
+        flat = ragged(np.frombuffer(b"".join(found), np.uint16), (np.cumsum(sizes) - sizes)[number], length)
+        return flat, np.diff(total, prepend=0)
+
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of ``texts``, and where each begins and the last ends."""
+        size = np.asarray(pc.binary_length(texts), np.int64)
+        offsets = np.append(0, np.cumsum(size))
+        if not offsets[-1]:
+            return np.zeros(0, np.uint8), offsets
+        first = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]
+        return np.frombuffer(texts.buffers()[2], np.uint8)[first : first + offsets[-1]], offsets
+
+    def _one(self, text: str) -> bytes:
+        if text[-1] == " " or "<|" in text or "\0" in text or UNEVEN.search(text):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = text.split(" ")
+        pieces[0] = "\0" + pieces[0]  # a first word has no space before it
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 class _Words(dict):
-    """Ids of words of the word pattern; emptied between texts' batches, long ones are not kept."""
+    """Ids of words (their bytes) of the word pattern; emptied between texts' batches, long ones are not kept."""
 
     MOST, MOST_BYTES, LONGEST = 1_000_000, 48 << 20, 64
 
@@ -98,17 +202,21 @@ class _Words(dict):
         super().__init__()
         self.bytes = 0
         self.tokenize = model.tokenize
-        self.letters = dict(enumerate(byte_letters()))
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word[1:].isalpha() and word[0] == " ":  # only the space has another letter
-            letters = self.letters[32] + word[1:]
-        else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = array("H", [t.id for t in self.tokenize(letters)]).tobytes()
-        if len(word) <= self.LONGEST:
-            self[word] = ids
-            self.bytes += len(word) + len(ids)
+        self.letters = np.array([ord(x) for x in byte_letters()], "<u2")
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        ids = list(map(self.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        lettered = self.letters[np.frombuffer(b"".join([words[i] for i in new]), np.uint8)].tobytes().decode("utf-16-le")
+        begin = 0
+        for i in new:
+            word = words[i]
+            end = begin + len(word)
+            ids[i] = known = array("H", [t.id for t in self.tokenize(lettered[begin:end])]).tobytes()
+            begin = end
+            if len(word) <= self.LONGEST:
+                self[word] = known
+                self.bytes += len(word) + len(known)
         return ids
 
 
@@ -120,15 +228,12 @@ class _Pieces(dict):
     def __init__(self, words: _Words, library):
         super().__init__()
         self.bytes = 0
-        self.word, self.split, self.library = words.__getitem__, regex.compile(WORD).findall, library
+        self.words, self.split, self.library = words, regex.compile(WORD).findall, library
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() and piece.isascii():
-            ids = self.word(" " + piece)
-        else:
-            text = piece[1:] if piece[0:1] == "\0" else " " + piece
-            words = self.split(text) if SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in self.library(text)]
-            ids = b"".join(map(self.word, words))
+        text = piece[1:] if piece[0:1] == "\0" else " " + piece
+        words = self.split(text) if SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in self.library(text)]
+        ids = b"".join(self.words.of([w.encode() for w in words]))
         if len(piece) <= self.LONGEST:
             self[piece] = ids
             self.bytes += len(piece) + len(ids)
@@ -270,7 +375,7 @@ def _write(batches, path: str, schema: pa.Schema):
         return _block(part, block, before, ids, pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held]), encoder.vocabulary, schema)
 
     for batch in text_slices(batches, 1 << 20):
-        ids, counts = encoder.encode(batch.column("text").to_pylist())
+        ids, counts = encoder.encode(batch.column("text"))
         held.append((ids, batch.column("doc_id"), counts))
         n += len(ids)
         if n >= BLOCK_TOKENS:

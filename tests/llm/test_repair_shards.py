@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from quern.llm import repair_shards as r, staging
@@ -113,3 +114,30 @@ def test_every_code_point_is_cut_as_by_the_library():
         parts = np.split(flat, np.cumsum(counts)[:-1])
         for t, ids, whole in zip(texts, parts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
             assert ids.tolist() == whole.ids + [0], t
+
+
+def test_words_of_settled_texts_are_cut_as_by_the_library():
+    draw = np.random.default_rng(5)
+    sets = ["a's ", "'stremvdl \n", "aé1\u00b2.\u00a0\n\t ", "ab c,'\n", "é\u00ad\u00aa\u00bc\u017f\u00d7 x\r\u00a0", "'\u00a0s\n", "<| a", "aЖ’ '\n"]
+    texts = ["".join(draw.choice(list(sets[i % len(sets)]), draw.integers(0, 14))) for i in range(16_000)]
+    e = r.Encoder(r.default_path())
+    for size in (1, 7, 4000):
+        for i in range(0, 300 * size if size < 4000 else len(texts), size):
+            part = texts[i : i + size]
+            flat, counts = e.encode(part)
+            want = [x.ids + [0] for x in e.tokenizer.encode_batch(part, add_special_tokens=False)]
+            assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+    even = [t for t in texts if r.SETTLED.fullmatch(t) and not r.UNEVEN.search(t) and t[-1:] != " "]
+    raw = [t.encode() for t in even]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    starts = r._word_starts(data, r._kinds(data), offsets)
+    assert np.diff(np.append(starts, len(data))).tolist() == [len(w.encode()) for t in even for w in regex.findall(r.WORD, t)]
+
+
+def test_every_word_of_a_batch_is_looked_up_once(monkeypatch):
+    """However many texts hold it and whatever stands beside it; settled texts leave no pieces."""
+    asked, of = [], r._Words.of
+    monkeypatch.setattr(r._Words, "of", lambda self, words: asked.extend(words) or of(self, words))
+    e = r.Encoder(r.default_path())
+    e.encode([f"word word, größe{mark} word's\nword" for mark in ("", ".", "?!", ")", ";")] * 20)
+    assert len(asked) == len(set(asked)) and not e.pieces
