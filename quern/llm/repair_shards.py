@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import staging
 from quern.llm.bpe import byte_letters
-from quern.llm.words import per_worker, text_slices
+from quern.llm.words import Kept, per_worker, text_slices
 
 BLOCK_TOKENS, END_ID, SYMBOLS = 1 << 20, 0, 1 << 16
 #: Fixed value: the word pattern of byte-level vocabularies of this family.
@@ -137,10 +137,8 @@ class Encoder:
 
         Settled texts are cut into words by arrays, and every different word of theirs is looked up once.
         """
-        for memo in (self.words, self.pieces):
-            if len(memo) > memo.MOST or memo.bytes > memo.MOST_BYTES:
-                memo.clear()
-                memo.bytes = 0
+        self.words.tidy()
+        self.pieces.tidy()
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         data, offsets = self._bytes(texts)
         kind = _kinds(data)
@@ -150,7 +148,7 @@ class Encoder:
         single = np.zeros(len(texts), bool)
         single[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
         single |= pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        found = [array("H", [END_ID]).tobytes(), *map(self._one, texts.filter(pa.array(single)).to_pylist())]
+        found = [array("H", [END_ID]).tobytes(), *self._apart(texts.filter(pa.array(single)).to_pylist())]
         if single.any():
             texts = texts.filter(pa.array(~single))
             data, offsets = self._bytes(texts)
@@ -185,22 +183,28 @@ class Encoder:
         first = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]
         return np.frombuffer(texts.buffers()[2], np.uint8)[first : first + offsets[-1]], offsets
 
-    def _one(self, text: str) -> bytes:
-        if text[-1] == " " or "<|" in text or "\0" in text or UNEVEN.search(text):
-            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = text.split(" ")
-        pieces[0] = "\0" + pieces[0]  # a first word has no space before it
-        return b"".join(map(self.pieces.__getitem__, pieces))
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text that is not cut by arrays."""
+        cut = []
+        for text in texts:
+            whole = text[-1] == " " or "<|" in text or "\0" in text or UNEVEN.search(text)
+            cut.append(None if whole else ("\0" + text).split(" "))  # a first word has no space before it
+        new = set().union(*filter(None, cut)).difference(self.pieces)
+        with self.pieces.including(self.pieces.found(list(new))):
+            get = self.pieces.__getitem__
+            return [b"".join(map(get, pieces)) if pieces else self._whole(text) for text, pieces in zip(texts, cut)]
 
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-class _Words(dict):
+
+class _Words(Kept):
     """Ids of words (their bytes) of the word pattern; emptied between texts' batches, long ones are not kept."""
 
-    MOST, MOST_BYTES, LONGEST = 1_000_000, 48 << 20, 64
+    MOST, MOST_BYTES = 1_000_000, 48 << 20
 
     def __init__(self, model):
-        super().__init__()
-        self.bytes = 0
+        super().__init__(self.MOST, self.MOST_BYTES)
         self.tokenize = model.tokenize
         self.letters = np.array([ord(x) for x in byte_letters()], "<u2")
 
@@ -220,24 +224,27 @@ class _Words(dict):
         return ids
 
 
-class _Pieces(dict):
+class _Pieces(Kept):
     """Ids of what stands between two spaces, after a space or, marked by a zero character, at a text's start."""
 
-    MOST, MOST_BYTES, LONGEST = 800_000, 48 << 20, 64
+    MOST, MOST_BYTES = 800_000, 48 << 20
 
     def __init__(self, words: _Words, library):
-        super().__init__()
-        self.bytes = 0
+        super().__init__(self.MOST, self.MOST_BYTES)
         self.words, self.split, self.library = words, regex.compile(WORD).findall, library
 
-    def __missing__(self, piece: str) -> bytes:
+    def cut(self, piece: str) -> list[str]:
+        if piece.isalpha() and piece.isascii():
+            return [" " + piece]
         text = piece[1:] if piece[0:1] == "\0" else " " + piece
-        words = self.split(text) if SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in self.library(text)]
-        ids = b"".join(self.words.of([w.encode() for w in words]))
-        if len(piece) <= self.LONGEST:
-            self[piece] = ids
-            self.bytes += len(piece) + len(ids)
-        return ids
+        return self.split(text) if SETTLED.fullmatch(text) else [text[a:b] for _, (a, b) in self.library(text)]
+
+    def found(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces; each different word of theirs is looked up once."""
+        cut = list(map(self.cut, new))
+        words = list({w for part in cut for w in part})
+        ids = dict(zip(words, self.words.of([w.encode() for w in words])))
+        return {piece: b"".join([ids[w] for w in part]) for piece, part in zip(new, cut)}
 
 
 def _slots(stands: np.ndarray, pair: np.ndarray) -> np.ndarray:

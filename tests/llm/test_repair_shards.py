@@ -141,3 +141,14 @@ def test_every_word_of_a_batch_is_looked_up_once(monkeypatch):
     e = r.Encoder(r.default_path())
     e.encode([f"word word, größe{mark} word's\nword" for mark in ("", ".", "?!", ")", ";")] * 20)
     assert len(asked) == len(set(asked)) and not e.pieces
+
+
+def test_pieces_beyond_latin_share_one_look_up(monkeypatch):
+    calls, of = [], r._Words.of
+    monkeypatch.setattr(r._Words, "of", lambda self, words: calls.append(list(words)) or of(self, words))
+    e = r.Encoder(r.default_path())
+    texts = [f"word’s word{i} größe “x{i}” {'日本語' * 30}" for i in range(50)]
+    flat, _ = e.encode(texts)
+    assert flat.tolist() == [i for t in texts for i in [*e.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+    assert len([c for c in calls if c]) == 1 and len(calls[0]) == len(set(calls[0]))
+    assert all(len(p) <= 64 for p in e.pieces)
